@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -27,7 +27,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(ROOT.rglob("*.py")):
             z.write(p, str(Path(ROOT.name) / p.relative_to(ROOT)))
     spark.sparkContext.addPyFile(str(archive))
-    os.remove(archive) if spark.sparkContext.master.startswith("local[") else atexit.register(archive.unlink, missing_ok=True)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
