@@ -20,6 +20,9 @@ BYTE_BASE, WORD_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD6
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Of a byte: 0 space, 1 letter or digit, 2 other.
+KIND = np.where(SPACE, 0, 2).astype(np.uint8)
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER_BYTES = LOWER.tobytes()
@@ -95,6 +98,17 @@ class Block:
     def hashes(self) -> np.ndarray:
         return span_hashes(self.buf, self.starts, self.ends)
 
+    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and first-of-document of the block's tokens: runs of letters and digits (bytes over
+        0x7F count as letters), and runs of other printing characters."""
+        kind = np.zeros(len(self.buf) + 2, dtype=np.uint8)
+        kind[1:-1] = KIND[self.buf]
+        edge = kind[1:] != kind[:-1]
+        edge[self.offsets] = True
+        starts = np.flatnonzero(edge & (kind[1:] > 0))
+        ends = np.flatnonzero(edge & (kind[:-1] > 0))
+        return starts, ends, np.searchsorted(starts, self.offsets)
+
     def text(self, i: int) -> bytes:
         return self.buf[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
