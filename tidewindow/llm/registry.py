@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import simhash, substring
+from . import bpe, chat, quality, rules, simhash, substring, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_substring_dedup": substring.op2_substring_dedup,
+        "op3_quality_classifier": quality.op3_quality_classifier,
+        "op4_quality_rules": rules.op4_quality_rules,
+        "op5_chat_formatting": chat.op5_chat_formatting,
+        "op9_byte_level_bpe": bpe.op9_byte_level_bpe,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring.OP2_SQL}
+    return {"op2_substring_dedup": substring.OP2_SQL, "op5_chat_formatting": chat.OP5_SQL}
