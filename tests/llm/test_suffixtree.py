@@ -46,10 +46,10 @@ def test_distributions_sum_to_one_and_depth_pays(spark):
     assert np.allclose((10.0 ** tree.logp).sum(axis=1), 1, atol=1e-4) and len(tree.contexts) > 20
     kept = set(tree.contexts)
     assert all((d - 1, c & ((1 << S.BITS * (d - 1)) - 1)) in kept for d, c in kept if d)
-    table = tree.table()
-    for d, c in tree.contexts[1:50]:
-        deepest = max(x for x in kept if x[0] <= S.DEPTH and c & ((1 << S.BITS * min(d, x[0])) - 1) == x[1] and x[0] <= d)
-        assert tree.contexts[table[c]][0] >= deepest[0]
+    h = np.random.default_rng(3).integers(0, 1 << S.BITS * S.DEPTH, 3000, dtype=np.uint64)
+    h[:1500] = [c | (int(x) << (S.BITS * d) & (1 << S.BITS * S.DEPTH) - 1) for x, (d, c) in zip(h, (tree.contexts * 1500)[:1500])]
+    for x, state in zip(h.tolist(), tree.lookup().states(h).tolist()):
+        assert tree.contexts[state] == max((d, x & ((1 << S.BITS * d) - 1)) for d in range(S.DEPTH + 1) if (d, x & ((1 << S.BITS * d) - 1)) in kept)
     inner = 10.0 ** tree.inner
     per_class = Counter()
     for b in range(256):
@@ -72,7 +72,7 @@ def test_query_against_brute_force(spark, frame):
 
 def test_alone_or_together_scores_agree(spark):
     tree = S.fit(spark.createDataFrame([(x,) for x in texts()], "text string"))
-    t, table = texts(40), tree.table()
+    t, table = texts(40), tree.lookup()
     together = np.concatenate([tree.scores(k, table) for k in blocks(pa.array(t), lower=True)])
     alone = np.concatenate([tree.scores(k, table) for x in t for k in blocks(pa.array([x or ""]), lower=True)])
     assert np.allclose(together, alone)

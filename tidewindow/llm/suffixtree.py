@@ -5,8 +5,10 @@ end token (a document without words is a line end alone).  Symbols are bytes; th
 the rest share one.  A context is up to DEPTH preceding symbols, running back into the end of the text before,
 which is always the line end.  A context is retained if it was seen LEAST times and its next-symbol distribution
 diverges from that of its suffix by GAIN nats over all its occurrences; the suffixes of a retained context are
-retained too.  Distributions are smoothed towards the suffix's: (n(s, x) + STRENGTH * P(x | suffix)) / (n(s) + STRENGTH).
-A symbol is scored at the longest retained context; every 4-symbol history maps to its state in one table.
+retained too.  Distributions are smoothed towards the suffix's: (n(s, x) + k * P(x | suffix)) / (n(s) + k), with k STRENGTH times
+the number of different symbols that followed s.
+A symbol is scored at the longest retained context: one table maps every 4-symbol history to its state, and from
+there older symbols lead on to longer contexts.
 
 Symbol runs are counted over all training documents.  The driver builds the tree from the most frequent RUNS of
 them (24 MB) and keeps the STATES contexts of largest gain: the size of the model, 16 MB, is what is broadcast.
@@ -31,8 +33,10 @@ from ..runtime import Scratch, settings
 from .grams import held_out
 from .words import Block, blocks
 
-DEPTH, CLASSES, BITS = 4, 64, 6
-LEAST, GAIN, STRENGTH, RUNS, STATES = 40, 12.0, 6.0, 1 << 21, 1 << 16
+DEPTH, CLASSES, BITS = 5, 64, 6
+#: Depth up to which one dense table finds the state; longer contexts are reached from there, a symbol at a time.
+DENSE = 4
+LEAST, GAIN, STRENGTH, RUNS, STATES = 20, 8.0, 4.0, 1 << 21, (1 << 16) - 1
 END = 0x0A
 #: The end token among word hashes, and text bytes in a pack.
 END_HASH, PACK = np.uint64(0x5DEECE66D1234567), 16 << 20
@@ -63,16 +67,16 @@ def histories(s: np.ndarray, end_class: int) -> np.ndarray:
     Before the first text there is end after end; a text's first symbol sees the end of the one before, and no
     further, so that scores do not depend on neighbours.
     """
-    h = np.zeros(len(s), dtype=np.uint32)
+    h = np.zeros(len(s), dtype=np.uint64)
     for d in range(DEPTH):
-        x = np.full(len(s), end_class, dtype=np.uint32)
+        x = np.full(len(s), end_class, dtype=np.uint64)
         x[d + 1 :] = s[: max(0, len(s) - d - 1)]
-        h |= x << np.uint32(BITS * d)
+        h |= x << np.uint64(BITS * d)
     start = np.concatenate(([0], np.flatnonzero(s == end_class) + 1))
     into = np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))
     near = np.flatnonzero(into < DEPTH)
-    own = (np.uint32(1) << (BITS * into[near]).astype(np.uint32)) - np.uint32(1)
-    h[near] = (h[near] & own) | (np.uint32(sum(end_class << (BITS * d) for d in range(DEPTH))) & ~own)
+    own = (np.uint64(1) << (BITS * into[near]).astype(np.uint64)) - np.uint64(1)
+    h[near] = (h[near] & own) | (np.uint64(sum(end_class << (BITS * d) for d in range(DEPTH))) & ~own)
     return h
 
 
@@ -91,12 +95,12 @@ def _runs(batches: Iterator[pa.RecordBatch], classes: np.ndarray, end_class: int
     def emit():
         run, n = np.unique(np.concatenate(held), return_counts=True)
         for i in range(0, len(run), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(run[i : i + (1 << 16)].astype(np.int32)), pa.array(n[i : i + (1 << 16)])], ["run", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(run[i : i + (1 << 16)].astype(np.int64)), pa.array(n[i : i + (1 << 16)])], ["run", "n"])
 
     for b in batches:
         for k in blocks(b.column(0), lower=True):
             s = classes[symbols(k)[0]]
-            held.append((histories(s, end_class) << np.uint32(BITS)) | s)
+            held.append((histories(s, end_class) << np.uint64(BITS)) | s)
             size += len(s)
             if size > 24 << 20:
                 yield from emit()
@@ -106,8 +110,8 @@ def _runs(batches: Iterator[pa.RecordBatch], classes: np.ndarray, end_class: int
 
 
 class SuffixTree:
-    """classes: of each byte.  table: history -> state.  logp: log10 of a class after a state.  inner: log10 of a byte
-    within its class.  Immutable; contexts are kept and the table is rebuilt where the model is used."""
+    """classes: of each byte.  logp: log10 of a class after a state.  inner: log10 of a byte
+    within its class.  Immutable; contexts are kept and their lookup is built where the model is used."""
 
     def __init__(self, byte_counts: np.ndarray, runs: np.ndarray, counts: np.ndarray):
         self.classes, self.inner = classes_of(byte_counts)
@@ -137,9 +141,10 @@ class SuffixTree:
                 if seen < LEAST or parent is None:
                     continue
                 gain = float((m * np.log(m / seen / parent[nxt[lo:hi]])).sum())
-                q = parent * STRENGTH
+                weight = STRENGTH * (hi - lo)
+                q = parent * weight
                 q[nxt[lo:hi]] += m
-                here[c] = (q / (seen + STRENGTH)).astype(np.float32)
+                here[c] = (q / (seen + weight)).astype(np.float32)
                 if gain >= GAIN:
                     gains.append((gain, d, c))
             levels.append(here)
@@ -155,20 +160,50 @@ class SuffixTree:
         self.logp = np.log10(np.array(rows)).astype(np.float32)
         self.end_class = int(self.classes[END])
 
-    def table(self) -> np.ndarray:
-        t = np.zeros(1 << BITS * DEPTH, dtype=np.uint16)
-        for state, (d, c) in enumerate(self.contexts):  # sorted by depth: longer contexts overwrite
-            t.reshape(-1, 1 << BITS * d)[:, c] = state
-        return t
+    def lookup(self) -> Lookup:
+        return Lookup(self.contexts)
 
-    def scores(self, k: Block, table: np.ndarray) -> np.ndarray:
+    def scores(self, k: Block, lookup: Lookup) -> np.ndarray:
         """log10 probability of each document of a block."""
         s, first = symbols(k)
         c = self.classes[s]
-        each = self.logp[table[histories(c, self.end_class)], c].astype(np.float64) + self.inner[s]
+        each = self.logp[lookup.states(histories(c, self.end_class)), c].astype(np.float64) + self.inner[s]
         return np.add.reduceat(each, first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
+class Lookup:
+    """history -> state of the longest retained context."""
+
+    def __init__(self, contexts: list[tuple[int, int]]):
+        """contexts are sorted by depth, so longer ones overwrite in the dense table."""
+        self.dense = np.zeros(1 << BITS * DENSE, dtype=np.uint16)
+        #: of a state: the row of its longer contexts, and per row and older symbol the state (0: none)
+        self.row = np.zeros(len(contexts), dtype=np.uint16)
+        number = {x: i for i, x in enumerate(contexts)}
+        rows = [np.zeros(1 << BITS, dtype=np.uint16)]
+        for state, (d, c) in enumerate(contexts):
+            if d <= DENSE:
+                self.dense.reshape(-1, 1 << BITS * d)[:, c] = state
+                continue
+            up = number[d - 1, c & ((1 << BITS * (d - 1)) - 1)]
+            if not self.row[up]:
+                self.row[up] = len(rows)
+                rows.append(np.zeros(1 << BITS, dtype=np.uint16))
+            rows[self.row[up]][c >> BITS * (d - 1)] = state
+        self.rows = np.array(rows)
+
+    def states(self, h: np.ndarray) -> np.ndarray:
+        out = self.dense[h & np.uint64((1 << BITS * DENSE) - 1)]
+        at = np.arange(len(h))
+        for d in range(DENSE, DEPTH):
+            row = self.row[out[at]]
+            at = at[row > 0]
+            longer = self.rows[row[row > 0], (h[at] >> np.uint64(BITS * d)) & np.uint64(CLASSES - 1)]
+            at, longer = at[longer > 0], longer[longer > 0]
+            out[at] = longer
+        return out
+
+
 def classes_of(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(class of each byte, log10 of a byte within its class); the end has a class of its own."""
     weight = byte_counts.astype(np.float64).copy()
@@ -188,21 +223,21 @@ def fit(texts: DataFrame) -> SuffixTree:
     byte_counts = np.zeros(256, dtype=np.int64)
     byte_counts[found.column("symbol").to_numpy()] = found.column("n").to_numpy()
     classes, _ = classes_of(byte_counts)
-    runs = texts.mapInArrow(partial(_runs, classes=classes, end_class=int(classes[END])), "run int, n long")
+    runs = texts.mapInArrow(partial(_runs, classes=classes, end_class=int(classes[END])), "run long, n long")
     runs = runs.groupBy("run").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "run").limit(RUNS).toArrow()
     return SuffixTree(byte_counts, runs.column("run").to_numpy(), runs.column("n").to_numpy())
 
 
-_tables: dict[int, tuple[SuffixTree, np.ndarray]] = {}
+_lookups: dict[int, tuple[SuffixTree, Lookup]] = {}
 
 
 def _pack(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, held_out, text) to packs: scores by the tree, distinct words, and each document's words by number."""
     model = tree.value
-    if id(model) not in _tables:
-        _tables.clear()
-        _tables[id(model)] = (model, model.table())
-    table = _tables[id(model)][1]
+    if id(model) not in _lookups:
+        _lookups.clear()
+        _lookups[id(model)] = (model, model.lookup())
+    lookup = _lookups[id(model)][1]
     part, n = TaskContext.get().partitionId(), 0
     held: dict[str, list] = {x: [] for x in ("doc_id", "held_out", "score", "n", "words", "train")}
     size = 0
@@ -230,7 +265,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
             words = np.insert(k.hashes(), k.first[1:], END_HASH)
             held["doc_id"] += b.column(0)[k.lo : k.hi].to_pylist()
             held["held_out"] += out_of.tolist()
-            held["score"].append(model.scores(k, table))
+            held["score"].append(model.scores(k, lookup))
             held["n"].append(per)
             held["words"].append(words)
             held["train"].append(np.repeat(~out_of, per))
