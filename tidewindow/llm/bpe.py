@@ -24,7 +24,7 @@ NONE = np.int32(2**31 - 1)
 #: Row widths; a longer piece is merged with a heap, whose work grows as n log n.
 WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
 #: Cells of a matrix, and pieces that a worker remembers.
-CELLS, REMEMBERED = 1 << 19, 300_000
+CELLS, REMEMBERED = 1 << 18, 150_000
 
 
 class PairTable:

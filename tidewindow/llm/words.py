@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 U = np.uint64
 #: Odd multipliers of the byte-level and word-level polynomial hashes.
 BYTE_BASE, WORD_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -34,7 +34,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, BLOCK // 4)
+        size = n + 1 + n // 4
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             x = np.full(size, b, dtype=U)
