@@ -21,6 +21,8 @@ from .grams import word_grams
 from .words import Block, blocks, window_hashes
 
 BITS, SMOOTH, THRESHOLD = 17, 1.0, -0.35
+#: Ids of trusted documents that are broadcast (64 MB); more are joined by shuffle, which moves the texts once.
+BROADCAST_IDS = 8 << 20
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -104,6 +106,8 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     document makes every ratio 0; an empty table gives an empty result.
     """
     trusted = labels.filter("quality = 1").select("doc_id").distinct()
+    if trusted.count() <= BROADCAST_IDS:
+        trusted = F.broadcast(trusted)
     target = gram_counts(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi"))
     shared = docs.sparkSession.sparkContext.broadcast(log_ratio(target, gram_counts(docs)))
     out = docs.select("doc_id", "text").mapInArrow(
