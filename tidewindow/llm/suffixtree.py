@@ -10,8 +10,9 @@ the number of different symbols that followed s.
 A symbol is scored at the longest retained context: one table maps every 4-symbol history to its state, and from
 there older symbols lead on to longer contexts.
 
-Symbol runs are counted over all training documents.  The driver builds the tree from the most frequent RUNS of
-them (24 MB) and keeps the STATES contexts of largest gain: the size of the model, 16 MB, is what is broadcast.
+Symbol runs are counted over all training documents, in a table that grows with them.  Of each depth the driver gets
+the CANDIDATES most frequent contexts, each with every symbol that followed it, so that no distribution lacks its
+rare symbols; it keeps the STATES contexts of largest gain.  The size of the model, 16 MB, is what is broadcast.
 
 Word counts grow with the corpus and are never gathered.  Documents are packed, some megabytes of text to a pack, each
 with its list of distinct words; counts travel to a pack's words and back by joins, once a word and pack.
@@ -36,7 +37,7 @@ from .words import Block, blocks
 DEPTH, CLASSES, BITS = 5, 64, 6
 #: Depth up to which one dense table finds the state; longer contexts are reached from there, a symbol at a time.
 DENSE = 4
-LEAST, GAIN, STRENGTH, RUNS, STATES = 20, 8.0, 4.0, 1 << 21, (1 << 16) - 1
+LEAST, GAIN, STRENGTH, CANDIDATES, STATES = 5, 4.0, 3.0, 1 << 16, (1 << 16) - 1
 END = 0x0A
 #: The end token among word hashes, and text bytes in a pack.
 END_HASH, PACK = np.uint64(0x5DEECE66D1234567), 16 << 20
@@ -113,19 +114,18 @@ class SuffixTree:
     """classes: of each byte.  logp: log10 of a class after a state.  inner: log10 of a byte
     within its class.  Immutable; contexts are kept and their lookup is built where the model is used."""
 
-    def __init__(self, byte_counts: np.ndarray, runs: np.ndarray, counts: np.ndarray):
+    def __init__(self, byte_counts: np.ndarray, runs: np.ndarray, counts: np.ndarray, depths: np.ndarray):
+        """runs of each depth: a context with the next symbol in the low bits, and how often it was seen."""
         self.classes, self.inner = classes_of(byte_counts)
         n = np.bincount(self.classes, byte_counts, CLASSES)
         p = (n + 0.5) / (n.sum() + 0.5 * CLASSES)
         rows, self.contexts = [p], [(0, 0)]
-        parents = {0: 0}  # context of the depth before -> row
-        runs = runs.astype(np.int64)
         by_depth = []
         for d in range(1, DEPTH + 1):
-            key, back = np.unique(runs & ((1 << BITS * (d + 1)) - 1), return_inverse=True)
-            total = np.bincount(back, counts, len(key))
-            context, first = np.unique(key >> BITS, return_index=True)
-            by_depth.append((context, first, key & (CLASSES - 1), total))
+            at = np.flatnonzero(depths == d)
+            at = at[np.argsort(runs[at])]
+            context, first = np.unique(runs[at] >> BITS, return_index=True)
+            by_depth.append((context, first, runs[at] & (CLASSES - 1), counts[at]))
         # test each context against its suffix, then close the set under suffixes
         gains: list[tuple[float, int, int]] = []
         dist = {0: p}
@@ -217,15 +217,27 @@ def classes_of(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return classes, inner
 
 
-def fit(texts: DataFrame) -> SuffixTree:
+def candidates(runs: DataFrame, depth: int) -> DataFrame:
+    """(depth, run, n): the whole counts of the most frequent contexts of a depth, of runs(run, n) of depth DEPTH."""
+    cut = runs.groupBy(F.col("run").bitwiseAND((1 << BITS * (depth + 1)) - 1).alias("run")).agg(F.sum("n").alias("n"))
+    # a context has at most CLASSES followers
+    whole = cut.groupBy(F.shiftright("run", BITS).alias("context")).agg(F.sum("n").alias("seen"), F.collect_list(F.struct("run", "n")).alias("followers"))
+    most = whole.filter(F.col("seen") >= LEAST).orderBy(F.desc("seen"), "context").limit(CANDIDATES)
+    return most.select(F.lit(depth).alias("depth"), F.inline("followers"))
+
+
+def fit(texts: DataFrame, scratch: Scratch | None = None) -> SuffixTree:
     """Learns from every row of texts(text)."""
     found = texts.mapInArrow(_bytes, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
     byte_counts = np.zeros(256, dtype=np.int64)
     byte_counts[found.column("symbol").to_numpy()] = found.column("n").to_numpy()
     classes, _ = classes_of(byte_counts)
     runs = texts.mapInArrow(partial(_runs, classes=classes, end_class=int(classes[END])), "run long, n long")
-    runs = runs.groupBy("run").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "run").limit(RUNS).toArrow()
-    return SuffixTree(byte_counts, runs.column("run").to_numpy(), runs.column("n").to_numpy())
+    scratch = scratch or Scratch(texts.sparkSession, "tree")
+    runs = scratch.save(runs.groupBy("run").agg(F.sum("n").alias("n")), "runs")
+    gathered = [candidates(runs, d).toArrow() for d in range(1, DEPTH + 1)]
+    scratch.drop(runs)
+    return SuffixTree(byte_counts, *(np.concatenate([t.column(c).to_numpy() for t in gathered]) for c in ("run", "n", "depth")))
 
 
 _lookups: dict[int, tuple[SuffixTree, Lookup]] = {}
@@ -311,7 +323,7 @@ def scored(docs: DataFrame, scratch: Scratch, modulus: int = 10, remainder: int
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out(modulus, remainder).alias("held_out"), "text")
-    tree = spark.sparkContext.broadcast(fit(rows.filter("NOT held_out").select("text")))
+    tree = spark.sparkContext.broadcast(fit(rows.filter("NOT held_out").select("text"), scratch))
     packs = scratch.save(rows.mapInArrow(partial(_pack, tree=tree), PACKED), "packs")
     words = packs.select("pack", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select("pack", "at", F.col("w.words").alias("word"), F.col("w.train").alias("train"))
     counts = scratch.save(words.filter("train > 0").groupBy("word").agg(F.sum("train").alias("c")), "counts")
