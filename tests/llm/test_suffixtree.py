@@ -83,3 +83,18 @@ def test_empty(spark, frame):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = S.scored(frame({only: "a b"}), Scratch(spark, "t")).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (3, 0, 0, True) and r.base_score == pytest.approx(0.0)
+
+
+@pytest.mark.parametrize("held", [7, 1000, 1 << 20])
+def test_runs_are_counted_whole(monkeypatch, held):
+    monkeypatch.setattr(S, "HELD", held)
+    t, classes = texts(60), (np.arange(256) & 63).astype(np.uint8)
+    want = Counter()
+    for k in blocks(pa.array(t), lower=True):
+        s = classes[S.symbols(k)[0]]
+        want.update(((S.histories(s, S.END) << np.uint64(S.BITS)) | s).tolist())
+    got = Counter()
+    for b in S._runs(iter([pa.record_batch([pa.array(t)], ["text"])]), classes, S.END):
+        for r, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got[r] += n
+    assert got == want

@@ -41,6 +41,8 @@ LEAST, GAIN, STRENGTH, CANDIDATES, STATES = 5, 4.0, 3.0, 1 << 16, (1 << 16) - 1
 END = 0x0A
 #: The end token among word hashes, and text bytes in a pack.
 END_HASH, PACK = np.uint64(0x5DEECE66D1234567), 16 << 20
+#: Symbols whose runs a task counts at a time.
+HELD = 24 << 20
 
 
 def symbols(k: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -90,23 +92,33 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], classes: np.ndarray, end_class: int) -> Iterator[pa.RecordBatch]:
-    """(run, n): histories with the next symbol in the low bits, counted over a few megabytes at a time."""
-    held, size = [], 0
+    """(run, n): histories with the next symbol in the low bits, counted over HELD symbols at a time.
+
+    One buffer holds them and is sorted in place, so that a task needs little more than its 8 bytes a symbol.
+    """
+    held, size = np.empty(HELD, dtype=np.uint64), 0
 
     def emit():
-        run, n = np.unique(np.concatenate(held), return_counts=True)
-        for i in range(0, len(run), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(run[i : i + (1 << 16)].astype(np.int64)), pa.array(n[i : i + (1 << 16)])], ["run", "n"])
+        part = held[:size]
+        part.sort()
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        n = np.diff(np.append(first, size))
+        for i in range(0, len(first), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(part[first[i : i + (1 << 16)]].view(np.int64)), pa.array(n[i : i + (1 << 16)])], ["run", "n"])
 
     for b in batches:
         for k in blocks(b.column(0), lower=True):
             s = classes[symbols(k)[0]]
-            held.append((histories(s, end_class) << np.uint64(BITS)) | s)
-            size += len(s)
-            if size > 24 << 20:
-                yield from emit()
-                held, size = [], 0
-    if held:
+            run = (histories(s, end_class) << np.uint64(BITS)) | s
+            at = 0
+            while at < len(run):
+                if size == HELD:
+                    yield from emit()
+                    size = 0
+                n = min(HELD - size, len(run) - at)
+                held[size : size + n] = run[at : at + n]
+                at, size = at + n, size + n
+    if size:
         yield from emit()
 
 
