@@ -34,7 +34,7 @@ from ..runtime import Scratch, settings
 from .grams import held_out
 from .words import Block, blocks
 
-DEPTH, CLASSES, BITS = 5, 64, 6
+DEPTH, CLASSES, BITS = 6, 64, 6
 #: Depth up to which one dense table finds the state; longer contexts are reached from there, a symbol at a time.
 DENSE = 4
 LEAST, GAIN, STRENGTH, CANDIDATES, STATES = 5, 4.0, 3.0, 1 << 16, (1 << 16) - 1
