@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, settings
+from .names import spare
 
 BLOCK, FRAME = 32, 1024
 
@@ -110,11 +111,12 @@ def placed(docs: DataFrame, scratch: Scratch, weights: Mapping[str, float] | Non
 
 def in_mixed_order(docs: DataFrame, scratch: Scratch, weights: Mapping[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """docs, all rows and columns, sorted into the mix; rows that share an id and source share a place."""
+    id_, source, at = spare(docs, "id", "source", "place")
     place = placed(docs.select("doc_id", "source").distinct(), scratch, weights, block).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("place").alias("__place")
+        F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("place").alias(at)
     )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.coalesce("source", F.lit("")) == F.col("__source"))
-    return docs.join(place, same, "left").repartitionByRange("__place", "doc_id").sortWithinPartitions("__place", "doc_id").select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.coalesce("source", F.lit("")) == F.col(source))
+    return docs.join(place, same, "left").repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id").select(*docs.columns)
 
 
 def tempered(counts: Mapping[str, int], alpha: float = 0.7) -> dict[str, float]:

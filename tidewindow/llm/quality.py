@@ -86,7 +86,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str, mo
     return weights
 
 
-def _score(batches: Iterator[pa.RecordBatch], weights, place: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], weights, place: int, name: str) -> Iterator[pa.RecordBatch]:
     w = weights.value
     for b in batches:
         out = np.zeros(b.num_rows)
@@ -94,17 +94,19 @@ def _score(batches: Iterator[pa.RecordBatch], weights, place: int) -> Iterator[p
             rows, terms, x = _vectors(k)
             out[k.lo : k.hi] = np.bincount(rows, w[terms] * x, k.hi - k.lo)
         score = 1 / (1 + np.exp(-np.clip(out + w[-1], -30, 30)))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "__score"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, name])
 
 
-def with_score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs(..., text) with a column __score from 0 to 1; a null or empty text has the bias alone.
+def with_score(docs: DataFrame, weights: np.ndarray, name: str = "__score") -> DataFrame:
+    """docs(..., text) with a further column, from 0 to 1; a null or empty text has the bias alone.
+
+    docs must not have a column called name.
 
     Every row stays, repeated rows included; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = "".join(f"`{c}` {t}, " for c, t in docs.dtypes) + "__score double"
-    return docs.mapInArrow(partial(_score, weights=shared, place=docs.columns.index("text")), schema)
+    schema = "".join(f"`{c}` {t}, " for c, t in docs.dtypes) + f"`{name}` double"
+    return docs.mapInArrow(partial(_score, weights=shared, place=docs.columns.index("text"), name=name), schema)
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, settings
+from .names import spare
 from .words import WORD_BASES, Block, blocks, segment_min_positions, window_hashes
 
 WINDOW = 50
@@ -172,10 +173,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> D
     found = Repeats(docs, scratch, window)
     copies = found.scan.filter(found.is_copy).select("doc_id", "key", F.lit("").alias("kept")).distinct()
     changed = scratch.save(found.cut(texts=True).select("doc_id", "key", "kept").unionByName(copies), "changed")
-    new = changed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("kept").alias("__kept"))
-    out = docs.join(new, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
-    text = F.coalesce("__kept", "text")
-    n_chars = [F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept")).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
+    id_, key, kept = spare(docs, "id", "key", "kept")
+    new = changed.select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("kept").alias(kept))
+    out = docs.join(new, (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left")
+    text = F.coalesce(kept, "text")
+    n_chars = [F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
     return out.select(*[text.alias("text") if c == "text" else n_chars[0] if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
