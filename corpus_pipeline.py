@@ -7,8 +7,10 @@ next stage's docs.  All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewindow.llm import bpe, mixing, quality, simhash, substring
+from tidewindow.llm.names import spare
 from tidewindow.runtime import Scratch, settings
 
 #: A document stays from this score of the quality classifier on.
@@ -19,7 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier rejects go."""
     settings(spark)
     weights = quality.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", 4, 2)
-    return quality.with_score(docs, weights).filter(f"__score >= {QUALITY}").drop("__score")
+    (score,) = spare(docs, "score")
+    return quality.with_score(docs, weights, score).filter(F.col(score) >= QUALITY).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
