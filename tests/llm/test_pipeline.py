@@ -39,3 +39,11 @@ def test_stages_keep_columns_and_take_odd_rows(spark, documents):
         assert out.columns == documents.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_columns_named_like_helpers_stay(spark, documents):
+    docs = documents.limit(60).selectExpr("*", *[f"'z' AS {c}" for c in ("__score", "__id", "__key", "__KEPT", "__source", "__place", "___place", "fp", "component_id", "key")])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {r[0] for r in out.select("__score").collect()} == {"z"}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
