@@ -98,3 +98,40 @@ def test_runs_are_counted_whole(monkeypatch, held):
         for r, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             got[r] += n
     assert got == want
+
+
+def test_every_passing_context_is_kept_in_any_number_of_shards(spark, monkeypatch):
+    """Against a plain count of all contexts; the former cut would keep 3 of a depth here."""
+    t = texts(120)
+    for name in ("CANDIDATES", "STATES"):
+        monkeypatch.setattr(S, name, 3, raising=False)
+    scratch = Scratch(spark, "t")
+    df = spark.createDataFrame([(x,) for x in t], "text string")
+    byte_counts = sum(np.bincount(S.symbols(k)[0], minlength=256) for k in blocks(pa.array(t), lower=True))
+    classes, _ = S.classes_of(byte_counts)
+    after = {}
+    for k in blocks(pa.array(t), lower=True):
+        s = classes[S.symbols(k)[0]]
+        for h, x in zip(S.histories(s, int(classes[S.END])).tolist(), s.tolist()):
+            for d in range(1, S.DEPTH + 1):
+                after.setdefault((d, h & ((1 << S.BITS * d) - 1)), Counter())[x] += 1
+    n = np.bincount(classes, byte_counts, S.CLASSES)
+    p, want = {(0, 0): (n + 0.5) / (n.sum() + 0.5 * S.CLASSES)}, {(0, 0)}
+    for d, c in sorted(after):
+        m = np.array([after[d, c][x] for x in range(S.CLASSES)])
+        above, seen, weight = p.get((d - 1, c & ((1 << S.BITS * (d - 1)) - 1))), m.sum(), S.STRENGTH * (m > 0).sum()
+        if seen >= S.LEAST:
+            p[d, c] = (m + weight * above) / (seen + weight)
+            if sum(x * math.log(x / seen / q) for x, q in zip(m, above) if x) >= S.GAIN:
+                want |= {(j, c & ((1 << S.BITS * j) - 1)) for j in range(1, d + 1)}
+    whole = S.fit(df)
+    assert set(whole.contexts) == want and len(want) > 100
+    assert np.allclose(10.0 ** whole.logp, [p[x] for x in whole.contexts], atol=1e-6)
+    shard_of, parts = S.shards(*S.learn(df, scratch), scratch, size=40)
+    parts = list(parts)
+    assert len(parts) > 3 and {x for tree in parts for x in tree.contexts} == want
+    for k in blocks(pa.array(t), lower=True):
+        x = S.Symbols(k, whole.classes, whole.inner, shard_of)
+        for i, tree in enumerate(parts):
+            x.add(tree.lookup(), i)
+        assert np.allclose(x.score, whole.scores(k, whole.lookup()))
