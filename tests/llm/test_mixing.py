@@ -50,3 +50,25 @@ def test_order_of_documents_and_empty(spark):
     assert M.placed(docs.limit(0), Scratch(spark, "t")).collect() == [] and M.in_mixed_order(docs.limit(0), Scratch(spark, "t")).collect() == []
     with pytest.raises(ValueError):
         M.placed(docs, Scratch(spark, "t"), {"s0": 0.0})
+
+
+def test_within_one_block_of_the_weights_over_many_frames():
+    cases = [{"hot": 20000**0.7} | {f"s{i}": (2000.0 + i) ** 0.7 for i in range(19)}, {"half": 0.5, "tiny": 1e-5} | {f"s{i}": 0.49999 / 998 for i in range(998)}]
+    for w in cases:
+        total, slots = sum(w.values()), 20_000
+        seen, last = dict.fromkeys(w, 0), dict.fromkeys(w, 0)
+        for t, (s, b) in zip(range(1, slots + 1), M.timetable(dict.fromkeys(w, slots), w)):
+            # a source is furthest behind just before a block of its own, and furthest ahead just after
+            assert b == seen[s] and seen[s] > w[s] / total * (t - 1) - 1 and seen[s] + 1 < w[s] / total * t + 1
+            seen[s], last[s] = seen[s] + 1, t
+        assert all(abs(seen[s] - w[s] / total * slots) < 1 for s in w)
+
+
+def test_places_follow_the_weights_exactly(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id < 4000 THEN 'half' ELSE concat('s', id % 40) END AS source")
+    weights = {"half": 0.5} | {f"s{i}": 0.5 / 40 for i in range(40)}
+    got = M.placed(docs, Scratch(spark, "t"), weights, block=2).collect()
+    order = [r.source for r in sorted(got, key=lambda r: r.place)]
+    assert len(order) == 6000 and {r.slot for r in got} == set(range(3000))
+    for t in range(1, 1900):
+        assert abs(order[: 2 * t].count("half") / 2 - t / 2) < 1

@@ -5,23 +5,28 @@ Block j (from 1) of a source of weight w is released at floor((j - 1) / w) and d
 the released block with the earliest deadline goes first.  On one machine that keeps every source within one
 block of w * t after every slot t.
 
-Weights are rounded to quotas of a frame of F slots (largest remainder, at least 1 each), and the schedule of a
-frame repeats: block j of a source stands in frame (j - 1) // quota, at the slot of its ((j - 1) % quota)-th
-block.  So the driver schedules frames of F slots only, never the corpus.  When a source runs out, the frame
-ends its phase and the others go on at their weights among themselves, until every document has its place.
+Releases and deadlines come from the exact weights (as integers) over a whole phase.  When a source runs out, its phase
+ends and the others go on at their weights among themselves, until every document has its place.  The driver steps
+through the slots, one for BLOCK documents, and hands them over as a table, HELD slots at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, settings
 from .names import spare
 
-BLOCK, FRAME = 32, 1024
+#: Documents of a block, and slots that the driver holds at a time.
+BLOCK, HELD = 32, 1 << 18
 
 
 def quotas(weights: Mapping[str, float], frame: int) -> dict[str, int]:
@@ -38,37 +43,43 @@ def quotas(weights: Mapping[str, float], frame: int) -> dict[str, int]:
 
 
 def schedule(quota: Mapping[str, int]) -> list[str]:
-    """The source of each slot of a frame, by earliest deadline among the released (integers throughout)."""
-    frame = sum(quota.values())
-    done = dict.fromkeys(quota, 0)
-    out = []
-    for t in range(frame):
-        ready = [(-(-(done[s] + 1) * frame // q), s) for s, q in quota.items() if done[s] < q and done[s] * frame // q <= t]
-        _, s = min(ready)
-        done[s] += 1
-        out.append(s)
-    return out
+    """The source of each slot of a frame."""
+    return [s for s, _ in timetable(quota, quota)]
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], frame: int) -> list[dict]:
-    """For each phase: first frame, frames, and per source (blocks before it, quota)."""
-    left, at, out = dict(blocks), 0, []
+def timetable(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int]]:
+    """(source, block) of each slot, by earliest deadline among the released, the lighter source first (integers throughout)."""
+    left, done = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0)
     while left:
-        q = quotas({s: weights[s] for s in left}, frame)
-        n = min(-(-left[s] // q[s]) for s in left)
-        out.append({"first": at, "frames": n, "quota": q, "before": {s: blocks[s] - left[s] for s in left}})
-        at += n
-        left = {s: left[s] - n * q[s] for s in left if left[s] > n * q[s]}
-    return out
-
-
-def placed(docs: DataFrame, scratch: Scratch, weights: Mapping[str, float] | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
+        exact = {s: Fraction(weights[s]) for s in left}
+        scale = lcm(*(w.denominator for w in exact.values()))
+        w = {s: int(x * scale) for s, x in exact.items()}
+        total = sum(w.values())
+        # of the phase: blocks of each source so far; (deadline, weight, source) of released blocks, (release, source) of others
+        nth, ready, later, t = dict.fromkeys(left, 0), [(-(-total // w[s]), w[s], s) for s in left], [], 0
+        heapify(ready)
+        while True:
+            while later and later[0][0] <= t and left[later[0][1]]:
+                _, s = heappop(later)
+                heappush(ready, (-(-(nth[s] + 1) * total // w[s]), w[s], s))
+            if later and later[0][0] <= t:  # a source would go on and has run out
+                break
+            *_, s = heappop(ready)
+            yield s, done[s]
+            done[s] += 1
+            nth[s] += 1
+            left[s] -= 1
+            heappush(later, (nth[s] * total // w[s], s))
+            t += 1
+        left = {s: n for s, n in left.items() if n}
+
+
+def placed(docs: DataFrame, scratch: Scratch, weights: Mapping[str, float] | None = None, block: int = BLOCK, frame: int | None = None) -> DataFrame:
     """(doc_id, source, block, slot, place) of every row of docs(doc_id, source); place sorts rows into the mix.
 
     weights gives targets; a source without one weighs as much as its share of rows, which is also the default.
-    A null source is the source ''.  Repeated rows and null ids have places of their own.  slot counts from 0 and
-    skips what an exhausted source leaves free.  An empty table gives an empty result.  Frames grow to 4 slots a
-    source at least; the driver holds a table of phases times frame slots, whatever the rows.
+    A null source is the source ''.  Repeated rows and null ids have places of their own.  slot counts from 0 without
+    gaps.  An empty table gives an empty result.  Only if frame is given, weights are rounded to quotas of so many slots.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")).withColumn("order", F.xxhash64("doc_id"))
@@ -86,26 +97,21 @@ def placed(docs: DataFrame, scratch: Scratch, weights: Mapping[str, float] | Non
     target = {s: float((weights or {}).get(s, n / total)) for s, n in sizes.items()}
     if any(w <= 0 for w in target.values()):
         raise ValueError("weights must be positive")
-    frame = max(frame, 4 * len(sizes))
-    slots, spans, known = [], [], {}
-    for i, p in enumerate(phases({s: -(-n // block) for s, n in sizes.items()}, target, frame)):
-        key = tuple(sorted(p["quota"].items()))
-        known[key] = known.get(key) or schedule(p["quota"])
-        seen: dict[str, int] = {}
-        for t, s in enumerate(known[key]):
-            slots.append((i, s, seen.get(s, 0), t))
-            seen[s] = seen.get(s, 0) + 1
-        spans += [(i, s, b, b + p["frames"] * p["quota"][s], p["quota"][s], p["first"]) for s, b in p["before"].items()]
+    if frame and target:
+        target = quotas(target, frame)
+    slots = None
+    times = enumerate(timetable({s: -(-n // block) for s, n in sizes.items()}, target))
+    while piece := list(islice(times, HELD)):
+        columns = [pa.array([s for _, (s, _) in piece]), pa.array([b for _, (_, b) in piece]), pa.array([t for t, _ in piece])]
+        made = spark.createDataFrame(pa.table(columns, ["source", "block", "slot"]))
+        made = scratch.save(made.coalesce(1), "slots")
+        slots = made if slots is None else slots.unionByName(made)
+    if slots is None:
+        slots = spark.createDataFrame([], "source string, block long, slot long")
     offsets = spark.createDataFrame(offsets, "source string, part long, offset long")
-    spans = spark.createDataFrame(spans, "phase int, source string, low long, high long, quota long, first long")
-    slots = spark.createDataFrame(slots, "phase int, source string, nth long, at long")
     ranked = ranged.withColumn("part", part).join(F.broadcast(offsets), ["source", "part"])
     ranked = ranked.withColumn("rank", F.col("row") + F.col("offset")).withColumn("block", F.floor(F.col("rank") / block))
-    b = F.col("block") - F.col("low")
-    timed = ranked.join(F.broadcast(spans), "source").filter((F.col("block") >= F.col("low")) & (F.col("block") < F.col("high")))
-    timed = timed.withColumn("nth", b % F.col("quota")).withColumn("of_frame", F.col("first") + F.floor(b / F.col("quota")))
-    slot = F.col("of_frame") * frame + F.col("at")
-    out = timed.join(F.broadcast(slots), ["phase", "source", "nth"]).withColumn("slot", slot)
+    out = ranked.join(slots, ["source", "block"])
     return out.select("doc_id", "source", "block", "slot", (F.col("slot") * block + F.col("rank") % block).alias("place"))
 
 
