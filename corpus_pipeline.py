@@ -1,11 +1,12 @@
 """A corpus pipeline: documents in, token digests out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs.  All but the last return the columns of documents.
+next stage's docs.  All but the last return the columns of documents.  The last adds place, a row's position in the mix.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +44,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mixed_order(docs, Scratch(spark, "mix"), mixing.tempered(mixing.source_counts(docs)))
 
 
+def with_position(docs: DataFrame, name: str) -> DataFrame:
+    """A column that counts the rows of a table from 0: files by name, rows within them."""
+    file, start, at = spare(docs, "file", "start", "at")
+    try:
+        rows = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(at))
+        found = rows.groupBy(file).count().collect()
+    except AnalysisException:  # not a table of files: the order it has
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    starts, n = [], 0
+    for r in sorted(found, key=lambda r: (len(r[0]), r[0])):  # part-100000 is after part-99999
+        starts.append((r[0], n))
+        n += r["count"]
+    starts = docs.sparkSession.createDataFrame(starts, f"{file} string, {start} long")
+    return rows.join(F.broadcast(starts), file).select(*docs.columns, (F.col(start) + F.col(at)).alias(name))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document, decoded again as proof."""
+    """Token counts and digests of every document, decoded again as proof, and its place in the mix."""
     settings(spark)
-    return bpe.public_codec(spark).digests(docs, "doc_id", "source")
+    (place,) = spare(docs, "place")
+    return bpe.public_codec(spark).digests(with_position(docs, place), "doc_id", "source", place).withColumnRenamed(place, "place")
 
 
 STAGES = [
@@ -62,7 +80,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage in the order of the mix."""
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs.orderBy("place").drop("place")

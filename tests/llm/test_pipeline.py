@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from tests_llm_helpers import slow_cut, slow_groups
 from tidewindow.llm import bpe, quality
+from tidewindow.runtime import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +48,20 @@ def test_columns_named_like_helpers_stay(spark, documents):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and {r[0] for r in out.select("__score").collect()} == {"z"}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_target_weights_decide_places(spark, documents, monkeypatch, tmp_path):
+    stages = dict(corpus_pipeline.STAGES)
+    mix, last = stages["mixing sources to target weights"], corpus_pipeline.STAGES[-1][1]
+
+    def places(name):
+        mix(spark, documents, SF).write.parquet(f"{tmp_path}/{name}")
+        return {r.doc_id: r.place for r in last(spark, spark.read.parquet(f"{tmp_path}/{name}"), SF).collect()}
+
+    usual = places("usual")
+    assert sorted(usual.values()) == list(range(documents.count()))
+    want = corpus_pipeline.mixing.in_mixed_order(documents, Scratch(spark, "t"), corpus_pipeline.mixing.tempered(corpus_pipeline.mixing.source_counts(documents)))
+    assert sorted(usual, key=usual.get) == [r.doc_id for r in want.collect()]
+    heavy = max(corpus_pipeline.mixing.source_counts(documents))
+    monkeypatch.setattr(corpus_pipeline.mixing, "tempered", lambda counts: {s: 1000.0 if s == heavy else 1.0 for s in counts})
+    assert places("changed") != usual
