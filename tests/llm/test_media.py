@@ -59,3 +59,12 @@ def test_damage_is_found_and_empty(spark, frame):
         M.assemble(d, [3], b"\2", b"", {0: b"xyz"})
     store = M.ChunkStore(frame([]), Scratch(spark, "t"))
     assert store.features().collect() == [] and store.of_docs.collect() == []
+
+
+def test_chunks_repeated_within_one_payload_are_stored_once(spark, frame):
+    passage = "".join(random.Random(4).choices("abcdefgh ", k=9000))
+    rows = {1: passage * 12, 2: "y" * 60_000, 3: "alone"}
+    store = M.ChunkStore(frame(rows), Scratch(spark, "t"))
+    assert store.table.selectExpr("sum(length(bytes))").first()[0] < 50_000
+    back = {bytes(r.object): bytes(r.payload) for r in store.payloads().collect()}
+    assert {r.doc_id: back[bytes(r.object)] for r in store.of_docs.collect()} == {i: M.payload(t.encode()) for i, t in rows.items()}

@@ -2,9 +2,9 @@
 
 A payload is cut where a gear hash of its last 32 bytes has CUT_BITS leading zeros, at least LEAST and at most MOST
 bytes apart.  A manifest lists the digests and lengths of its chunks.  Payloads that are equal share a manifest;
-chunks that several payloads share are found by joins of digests alone, and each is stored once:
+chunks that occur more than once, in several payloads or within one, are found by joins of digests alone, and each is stored once:
 
-* an object row for each distinct payload: its manifest, and the bytes of the chunks no other payload has;
+* an object row for each distinct payload: its manifest, and the bytes of the chunks that occur nowhere else;
 * a chunk row for each shared chunk.
 
 Reading joins shared chunks back by digest, puts every chunk in the manifest's order, and checks each digest.
@@ -197,7 +197,7 @@ class ChunkStore:
         stands = scratch.save(all_manifests.groupBy("object").agg(F.min("doc_id").alias("stands")), "stands")
         firsts = all_manifests.join(stands, (all_manifests.object == stands.object) & (F.col("doc_id") == F.col("stands")), "left_semi").dropDuplicates(["object"])
         chunks = scratch.save(firsts.select("object", F.posexplode("digests").alias("pos", "digest")), "chunks")
-        owners = chunks.groupBy("digest").agg(F.min("object").alias("owner"), F.max("object").alias("last")).filter("owner < last").select("digest", "owner")
+        owners = chunks.groupBy("digest").agg(F.min("object").alias("owner"), F.count("*").alias("refs")).filter("refs > 1").select("digest", "owner")
         owners = scratch.save(owners, "owners")
         kind = F.when(F.col("object") == F.col("owner"), OWNED).otherwise(FOREIGN)
         self.shared_refs = scratch.save(chunks.join(owners, "digest").select("object", "pos", "digest", kind.alias("kind")), "refs")
