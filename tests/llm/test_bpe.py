@@ -36,13 +36,33 @@ def test_same_as_the_library(pair):
         assert own.decode(own.encode_batch([t])[0]) == t.encode()
 
 
-def test_long_and_matrix_agree(pair):
+def test_wide_rows_and_matrix_agree(pair):
     own, lib = pair
     random.seed(1)
+    of = lambda x: [int.from_bytes(x[i : i + 4], "little") for i in range(0, len(x), 4)]
     for n in (2, 3, 7, 16, 60, 128):
         for _ in range(20):
             p = bytes(random.choices(b"aeinrst the", k=n))
-            assert own._matrix([p], n)[0] == b"".join(i.to_bytes(4, "little") for i in own._long(p)) == b"".join(i.to_bytes(4, "little") for i in lib._encode_single_piece(p)) or p in own.ranks
+            assert of(own._matrix([p], n)[0]) == of(own._wide(p)) == lib._encode_single_piece(p) or p in own.ranks
+    for p in (b"=" * 3001, b" " * 40_000, "漢字".encode() * 700, bytes(random.choices(b"aeinrstdlc", k=9000)), bytes(random.choices(range(256), k=4000)), b"ab" * 2000 + b"a"):
+        assert of(own._wide(p)) == lib._encode_single_piece(p)
+
+
+def test_wide_rows_on_any_ranks():
+    """Ranks that no training gives, where a merge can make a pair of lower rank."""
+    random.seed(3)
+    for _ in range(60):
+        tokens = {bytes([i]): i for i in range(256)}
+        made = {bytes(random.choices(b"abc", k=random.choice([2, 2, 3, 4, 5]))) for _ in range(25)}
+        tokens |= {t: 256 + i for i, t in enumerate(random.sample(sorted(made), len(made)))}
+        own = B.Tokenizer(b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in tokens.items()), P.PATTERN)
+        for _ in range(20):
+            p = bytes(random.choices(b"abc", k=random.choice([5, 40, 200])))
+            w = [p[i : i + 1] for i in range(len(p))]
+            while ranks := [tokens[a + b] for a, b in zip(w, w[1:]) if a + b in tokens]:
+                i = next(i for i in range(len(w) - 1) if tokens.get(w[i] + w[i + 1]) == min(ranks))
+                w[i : i + 2] = [w[i] + w[i + 1]]
+            assert own._wide(p) == b"".join(tokens[x].to_bytes(4, "little") for x in w)
 
 
 def test_query(spark, frame, pair):

@@ -4,27 +4,35 @@ A text is cut into pieces by the tokenizer's pattern.  Distinct pieces that a wo
 together: pieces of similar length are the padded rows of a matrix of token ids, and in each round every row
 merges its leftmost pair of least rank.  Ranks of pairs come from an open-addressing hash table.  A merged row is
 one id shorter, so deleting one column entry per row compacts the matrix; finished rows leave it.
+
+A piece of more bytes than the widest bucket is a matrix of one row, as wide as itself.  There a round merges the
+leftmost pair of least rank and every later pair of that rank, up to the first merge that makes a pair of lower
+rank: just what that many single merges would do, so that a long run of one character takes few rounds.
+
+One pass over the texts encodes, decodes again and digests; a worker remembers pieces up to a number of bytes.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..runtime import settings
+from .words import raw_text, release
 
 NONE = np.int32(2**31 - 1)
-#: Row widths; a longer piece is merged with a heap, whose work grows as n log n.
+#: Row widths of matrices that many pieces share; a longer piece is a matrix of its own.
 WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
-#: Cells of a matrix, and pieces that a worker remembers.
-CELLS, REMEMBERED = 1 << 18, 150_000
+#: Cells of a matrix, and bytes of pieces, ids and their dictionary entries that a worker remembers.
+CELLS, REMEMBERED, ENTRY = 1 << 18, 24 << 20, 180
+#: Bytes of text that are encoded at a time, however long the texts are, and rows handed on together.
+STEP, ROWS = 1 << 19, 1000
 
 
 class PairTable:
@@ -74,6 +82,7 @@ class Tokenizer:
         splits = [((self.ranks[t[:i]] << 32) | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.pairs = PairTable(*(np.array(x, dtype=np.int64) for x in zip(*splits))) if splits else PairTable(np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian 32-bit integers."""
@@ -83,7 +92,7 @@ class Tokenizer:
             if (whole := self.ranks.get(p)) is not None:
                 out[i] = whole.to_bytes(4, "little")
             elif len(p) > WIDTHS[-1]:
-                out[i] = np.array(self._long(p), dtype="<u4").tobytes()
+                out[i] = self._wide(p)
             else:
                 by_width.setdefault(next(w for w in WIDTHS if w >= len(p)), []).append(i)
         for width, rows in by_width.items():
@@ -126,37 +135,49 @@ class Tokenizer:
                 rank[right, at[right]] = self.pairs.get(ids[right, at[right]], ids[right, at[right] + 1])
         return out
 
-    def _rank(self, a: int, b: int) -> int | None:
-        return self.ranks.get(self.vocab[a] + self.vocab[b])
-
-    def _long(self, piece: bytes) -> list[int]:
-        ids = self.bytes[np.frombuffer(piece, dtype=np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self._rank(ids[i], ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (m := self._rank(ids[x], ids[y])) is not None:
-                    heapq.heappush(heap, (m, x, ids[x], ids[y]))
-        return [x for x in ids if x >= 0]
+    def _wide(self, piece: bytes) -> bytes:
+        """A matrix of one row."""
+        ids = self.bytes[np.frombuffer(piece, dtype=np.uint8)]
+        rank = self.pairs.get(ids[:-1], ids[1:])
+        while len(rank):
+            least = rank.min()
+            if least == NONE:
+                break
+            at = np.flatnonzero(rank == least)
+            # of touching pairs (a run of one symbol) every second merges, from the left
+            run = np.cumsum(np.concatenate(([True], np.diff(at) > 1)))
+            first = at[np.searchsorted(run, run)]
+            at = at[(at - first) % 2 == 0]
+            # pairs that each merge makes, as it would find its neighbours when it comes from the left
+            before = np.where(at > 0, ids[np.maximum(at - 1, 0)], -1)
+            before[1:] = np.where(at[1:] == at[:-1] + 2, least, before[1:])
+            after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            merged = np.full(len(at), least, dtype=np.int32)
+            lower = (self.pairs.get(before, merged) < least) | (self.pairs.get(merged, after) < least)
+            if lower.any():
+                at = at[: int(np.argmax(lower)) + 1]
+            ids[at] = least
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            ids, rank = ids[keep], rank[keep[1:]]
+            new = at - np.arange(len(at))
+            i = np.unique(np.concatenate((new - 1, new)))
+            i = i[(i >= 0) & (i < len(rank))]
+            rank[i] = self.pairs.get(ids[i], ids[i + 1])
+        return ids.astype("<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         cut = [self.pattern.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         known = self.known
         new = list({p for pieces in cut for p in pieces if p not in known})
-        known.update(zip(new, self.encode_pieces([p.encode() for p in new])))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        ids = self.encode_pieces([p.encode() for p in new])
+        known.update(zip(new, ids))
+        self.held += sum(map(len, new)) + sum(map(len, ids)) + ENTRY * len(new)
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        if self.held > REMEMBERED:
+            known.clear()
+            self.held = 0
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -172,20 +193,14 @@ def tokenizer(rank_file: bytes, pattern: str) -> Tokenizer:
     return _tokenizers[key]
 
 
-#: Characters of text that are encoded or decoded at a time.
-CHUNK = 1 << 20
-
-
-def _chunks(column: pa.Array, weigh) -> Iterator[list]:
-    held, size = [], 0
-    for x in column:
-        held.append(v := x.as_py() or type(x.as_py() or "")())
-        size += weigh(v)
-        if size > CHUNK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of about STEP bytes and ROWS rows at most; null is empty."""
+    buf, offsets = raw_text(column)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, min(lo + ROWS, int(np.searchsorted(offsets, offsets[lo] + STEP, side="right")) - 1))
+        yield lo, [bytes(buf[a:b]).decode() for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist())]
+        lo = hi
 
 
 class Codec:
@@ -196,38 +211,51 @@ class Codec:
             self.file = spark.sparkContext.broadcast(f.read())
         self.pattern = pattern
 
-    def encode(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """docs(*keep, text) -> (*keep, n_tokens, ids): ids holds little-endian unsigned 32-bit integers.
-
-        A null or empty text has no tokens; every row stays, repeated rows included.
-        """
-        file, pattern = self.file, self.pattern
+    def _map(self, docs: DataFrame, keep: tuple[str, ...], made, schema: str) -> DataFrame:
+        """(*keep, *what made returns of a tokenizer and the ids of some texts), in one pass over docs(*keep, text)."""
+        file, pattern, names = self.file, self.pattern, [c.split()[0] for c in schema.split(", ")]
 
         def run(batches):
             t = tokenizer(file.value, pattern)
             for b in batches:
-                ids = [x for part in _chunks(b.column(b.num_columns - 1), len) for x in t.encode_batch(part)]
-                n = pa.array([len(x) // 4 for x in ids], type=pa.int64())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], n, pa.array(ids, type=pa.binary())], [*b.schema.names[:-1], "n_tokens", "ids"])
+                for lo, texts in _texts(b.column(b.num_columns - 1)):
+                    kept = [c.slice(lo, len(texts)) for c in b.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*kept, *made(t, t.encode_batch(texts))], [*b.schema.names[:-1], *names])
+            release()
 
         picked = docs.select(*keep, "text")
-        return picked.mapInArrow(run, "".join(f"`{c}` {t}, " for c, t in picked.dtypes[:-1]) + "n_tokens long, ids binary")
+        return picked.mapInArrow(run, "".join(f"`{c}` {t}, " for c, t in picked.dtypes[:-1]) + schema)
+
+    def encode(self, docs: DataFrame, *keep: str) -> DataFrame:
+        """docs(*keep, text) -> (*keep, n_tokens, ids): ids holds little-endian unsigned 32-bit integers.
+
+        A null or empty text has no tokens; every row stays, repeated rows included.  An empty table gives an empty result.
+        """
+        return self._map(docs, keep, lambda t, ids: [_sizes(ids), pa.array(ids, type=pa.binary())], "n_tokens long, ids binary")
 
     def decode(self, encoded: DataFrame) -> DataFrame:
-        """encoded(..., ids) -> (..., ids, decoded): the bytes that the ids stand for."""
+        """encoded(..., ids) -> (..., ids, decoded): the bytes that the ids stand for; null ids stand for none."""
         file, pattern = self.file, self.pattern
 
         def run(batches):
             t = tokenizer(file.value, pattern)
             for b in batches:
-                out = pa.array([t.decode(x.as_py() or b"") for x in b.column("ids")], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, "decoded"])
+                for lo in range(0, b.num_rows, 64):
+                    part = b.slice(lo, 64)
+                    out = pa.array([t.decode(x.as_py() or b"") for x in part.column("ids")], type=pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns, out], [*b.schema.names, "decoded"])
 
         return encoded.mapInArrow(run, "".join(f"`{c}` {t}, " for c, t in encoded.dtypes) + "decoded binary")
 
     def digests(self, docs: DataFrame, *keep: str) -> DataFrame:
-        ids = self.decode(self.encode(docs, *keep))
-        return ids.select(*keep, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+        """docs(*keep, text) -> (*keep, n_tokens, ids_sha256, decoded_sha256), rows as in encode; texts and ids stay in the task."""
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        made = lambda t, ids: [_sizes(ids), pa.array([sha(x) for x in ids], type=pa.string()), pa.array([sha(t.decode(x)) for x in ids], type=pa.string())]
+        return self._map(docs, keep, made, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _sizes(ids: list[bytes]) -> pa.Array:
+    return pa.array([len(x) // 4 for x in ids], type=pa.int64())
 
 
 def public_codec(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> Codec:

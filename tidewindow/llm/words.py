@@ -8,6 +8,7 @@ text (``BLOCK`` bytes, or one document when that is longer).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,15 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def release() -> None:
+    """Hands memory that a task has freed back to the system: workers are used again, and allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift-multiply), so that any bits of the result may be used."""
     x = x ^ (x >> U(30))
