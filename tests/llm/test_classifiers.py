@@ -57,6 +57,32 @@ def test_machine_fits_an_interaction():
     assert (p == np.array(y)).mean() > 0.98
 
 
+def test_raw_is_the_pairwise_sum():
+    rng = np.random.default_rng(1)
+    m = toxicity.FactorizationMachine(20, 4)
+    m.bias, m.w, m.v = 0.3, rng.normal(size=20), rng.normal(size=(20, 4))
+    docs = [rng.choice(20, k, replace=False) for k in (0, 1, 2, 7, 20)]
+    rows = np.repeat(np.arange(5), [len(d) for d in docs])
+    want = [0.3 + sum(m.w[i] for i in d) + sum(m.v[i] @ m.v[j] for a, i in enumerate(d) for j in d[:a]) for d in docs]
+    assert np.allclose(m.raw(rows, np.concatenate(docs).astype(int), 5), want)
+
+
+def test_labels_of_pairs_alone_are_learned(spark):
+    """Half of all documents hold zlorp, half hold bramf; toxic are those that hold both or none, so neither tells."""
+    rng, words = random.Random(5), [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "klmnprst"]
+    rows = []
+    for i in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = rng.choices(words, k=30) + ["zlorp"] * a + ["bramf"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = toxicity.fit(spark, docs, docs.selectExpr("doc_id", "y AS toxic"), "toxic", 3, 1)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).collect()}
+    held = [(got[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(s >= 0.7) == y for s, y in held]) > 0.99
+
+
 def test_quality(spark):
     docs, labels = corpus(spark, lambda w: w.__setitem__(slice(None), [x + random.choice(["%%%", "$$$"]) for x in w]))
     table = spark.createDataFrame([(i, 1 - y) for i, y in labels], "doc_id long, quality int")

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import settings
-from .grams import distinct_counts, eligible, held_out, labelled, word_grams
-from .words import blocks
+from .grams import distinct_counts, held_out, labelled, word_grams
+from .words import blocks, release
 
 BITS, PER_CLASS, EPOCHS = 18, 3000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
@@ -74,16 +74,17 @@ def train(sample: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str, modulus: int, remainder: int) -> np.ndarray:
+    """Weights of the buckets and the bias, from the rows of docs whose labels may be learned from.
+
+    Of several labels of one document the largest counts; null labels and labels without a doc_id do not.  Without
+    labelled documents every weight is 0 and every score 0.5.
+    """
     sample = labelled(labels, column, modulus, remainder, PER_CLASS)
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.xxhash64(F.lit(1), "doc_id").alias("place"), "label", "text")
     found = picked.repartition("doc_id").select("place", "label", "text").mapInArrow(_gather, "place long, label int, terms array<int>, x array<float>").toArrow()
     lists = lambda name: (v.values.to_numpy() for c in found.column(name).chunks for v in c)
     rows = sorted(zip(found.column("place").to_pylist(), found.column("label").to_pylist(), lists("terms"), lists("x")), key=lambda r: (r[0], r[1], r[2].tobytes()))
-    weights = train([r[1:] for r in rows])
-    total = {r.label: r["count"] for r in eligible(labels, column, modulus, remainder).groupBy("label").count().collect()}
-    if len(total) == 2:  # the sample's classes weigh the same; the labels' own shares belong in the bias
-        weights[-1] += np.log(total[1] / total[0])
-    return weights
+    return train([r[1:] for r in rows])
 
 
 def _score(batches: Iterator[pa.RecordBatch], weights, place: int, name: str) -> Iterator[pa.RecordBatch]:
@@ -95,6 +96,7 @@ def _score(batches: Iterator[pa.RecordBatch], weights, place: int, name: str) ->
             out[k.lo : k.hi] = np.bincount(rows, w[terms] * x, k.hi - k.lo)
         score = 1 / (1 + np.exp(-np.clip(out + w[-1], -30, 30)))
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, name])
+    release()
 
 
 def with_score(docs: DataFrame, weights: np.ndarray, name: str = "__score") -> DataFrame:

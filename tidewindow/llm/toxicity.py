@@ -1,12 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
-score = sigmoid(bias + sum of w_i + sum over pairs of <v_i, v_j>) over the distinct terms of a document that the
-screen lets through.  Linear weights add up insults; the factors learn pairs (an insult and what it is aimed at)
-that no sum of single weights can.  Terms are tokens and the beginnings of longer tokens, hashed to 2**18
-buckets.  The screen keeps buckets whose share of toxic documents differs from the sample's by Z standard errors.
-
-Fitted on a bounded sample: at most PER_CLASS labelled documents of each class.  The model is of fixed size
-(2**18 bucket numbers, at most KEPT terms) and is broadcast.
+score = sigmoid(bias + sum of w_i + sum over pairs of <v_i, v_j>) over the distinct terms of a document.  Linear weights
+add up insults; the factors learn pairs (an insult and what it is aimed at) that no sum of single weights can.  Terms
+are tokens and the beginnings of longer tokens, hashed to 2**18 buckets.
+
+Regularisation is a score test at zero: a bucket's weight and factors leave zero only if the gradient of the loss
+there, on its weight or on one of its pairs, exceeds Z (for a pair, Z_PAIR) standard errors under no effect.  So a term that says nothing alone
+is learned if its pairs do.  Pairs to test are proposed by the leading eigenvectors of the matrix of pair gradients
+(sum over documents of residual * x_i * x_j), which is only ever multiplied with vectors.  However many buckets pass,
+all are kept.
+
+Fitted on a bounded sample: at most PER_CLASS labelled documents of each class.  The model (at most 2**18 buckets with
+FACTORS + 1 numbers each, 10 MB) is broadcast.
 """
 
 from __future__ import annotations
@@ -21,9 +26,12 @@ from pyspark.sql import functions as F
 
 from ..runtime import settings
 from .grams import distinct_counts, held_out, labelled, word_terms
-from .words import blocks
+from .words import blocks, release
 
-BITS, FACTORS, KEPT, PER_CLASS, Z, LEAST = 18, 4, 4096, 4000, 4.0, 5
+BITS, FACTORS, PER_CLASS = 18, 4, 4000
+Z, Z_PAIR = 4.0, 6.0
+#: Eigenvectors of pair gradients, rounds of the power iteration, and the entries of each whose pairs are tested.
+VECTORS, ROUNDS, TESTED = 4, 12, 64
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +56,7 @@ class FactorizationMachine:
             out += (np.bincount(rows, x, n) ** 2 - np.bincount(rows, x * x, n)) / 2
         return out
 
-    def fit(self, rows: np.ndarray, terms: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.1, decay: float = 1e-4) -> None:
+    def fit(self, rows: np.ndarray, terms: np.ndarray, y: np.ndarray, epochs: int = 200, rate: float = 0.1, decay: float = 1e-3) -> None:
         """Full-batch AdaGrad on the class-balanced logistic loss; deterministic."""
         n = len(y)
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
@@ -69,14 +77,51 @@ class FactorizationMachine:
             self.v -= rate * gv / np.sqrt(g2[2])
 
 
-def screen(rows: np.ndarray, terms: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The buckets, at most KEPT, whose share of label 1 differs most from the sample's."""
+def linear_test(rows: np.ndarray, terms: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Buckets whose weight has a gradient at zero of Z standard errors or more (half a document is taken off, as
+    counts are whole)."""
     n = np.bincount(terms, minlength=1 << BITS)
     ones = np.bincount(terms, y[rows], 1 << BITS)
     share = y.mean()
-    z = (ones - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
-    ok = np.flatnonzero((n >= LEAST) & (np.abs(z) >= Z) & (n <= 0.9 * len(y)))
-    return np.sort(ok[np.argsort(-np.abs(z[ok]), kind="stable")[:KEPT]])
+    z = (np.abs(ones - n * share) - 0.5) / np.sqrt(np.maximum(n * share * (1 - share) * (1 - n / len(y)), 1e-9))
+    return np.flatnonzero((z >= Z) & (n < len(y)))
+
+
+def pair_test(rows: np.ndarray, terms: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Buckets with a partner, so that the gradient on their pair has Z_PAIR standard errors or more."""
+    e, n = y - y.mean(), len(y)
+    df = np.bincount(terms, minlength=1 << BITS)
+    rarer = min(y.mean(), 1 - y.mean())
+    # a pair in k documents has at most sqrt(k * (1 - rarer) / rarer) standard errors
+    used = np.flatnonzero((df > 1) & (df >= Z_PAIR**2 * rarer / (1 - rarer)) & (df < n))
+    if len(used) < 2:
+        return used[:0]
+    at = np.full(1 << BITS, -1)
+    at[used] = np.arange(len(used))
+    inside = np.flatnonzero(at[terms] >= 0)
+    r, t = rows[inside], at[terms[inside]]
+    # entries of unit column norm, and documents of unit norm, so that neither rare terms nor long texts rule
+    x = 1 / np.sqrt(df[used][t])
+    length = np.sqrt(np.bincount(r, x * x, n))
+    x = x / np.sqrt(length[r])
+    own = np.bincount(t, e[r] * x * x, len(used))
+    u = np.random.default_rng(7).normal(size=(len(used), VECTORS))
+    for _ in range(ROUNDS):
+        u, _ = np.linalg.qr(u)
+        u = np.stack([np.bincount(t, (np.bincount(r, c[t] * x, n) * e)[r] * x, len(used)) - own * c for c in u.T], axis=1)
+    found = []
+    for c in u.T:
+        top = np.sort(np.argsort(-np.abs(c), kind="stable")[:TESTED])
+        there = np.zeros((n, len(top)))
+        k = np.flatnonzero(np.isin(t, top))
+        there[r[k], np.searchsorted(top, t[k])] = 1
+        # the pair's own effect: both columns and the mean are taken out of the product of two
+        centred = there - there.mean(axis=0)
+        z = centred.T @ (e[:, None] * centred) / np.sqrt(np.maximum((centred**2).T @ (centred**2) * (e * e).mean(), 1e-9))
+        np.fill_diagonal(z, 0)
+        both = there.T @ there
+        found.append(used[top[((np.abs(z) >= Z_PAIR) & (both > 1)).any(axis=1)]])
+    return np.unique(np.concatenate(found))
 
 
 class Model:
@@ -89,7 +134,7 @@ class Model:
         if 0 < y.sum() < len(y):
             rows = np.repeat(np.arange(len(sample)), [len(t) for _, t in sample])
             terms = np.concatenate([t for _, t in sample]).astype(np.int64)
-            kept = screen(rows, terms, y)
+            kept = np.union1d(linear_test(rows, terms, y), pair_test(rows, terms, y))
             self.column[kept] = np.arange(len(kept))
             at = np.flatnonzero(self.column[terms] >= 0)
             self.machine = FactorizationMachine(len(kept), FACTORS)
@@ -108,7 +153,10 @@ class Model:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str, modulus: int, remainder: int) -> Model:
-    """The sample (at most 2 * PER_CLASS rows) is small enough to broadcast; terms are gathered, not texts."""
+    """The sample (at most 2 * PER_CLASS rows) is small enough to broadcast; terms are gathered, not texts.
+
+    Of several labels of one document the largest counts; null labels and labels without a doc_id do not.
+    """
     sample = labelled(labels, column, modulus, remainder, PER_CLASS)
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").repartition("doc_id")
     found = picked.select("label", "text").mapInArrow(_terms, "label int, terms array<int>").toArrow()
@@ -119,6 +167,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str, mo
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.scores(b.column(1)))], ["doc_id", "score"])
+    release()
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
