@@ -19,9 +19,12 @@ QUALITY = 0.7
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; without labels of both kinds it raises."""
     settings(spark)
-    weights = quality.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", 4, 2)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    if labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select("quality").distinct().count() < 2:
+        raise ValueError("no labels to learn quality from")
+    weights = quality.fit(spark, docs, labels, "quality", 4, 2)
     (score,) = spare(docs, "score")
     return quality.with_score(docs, weights, score).filter(F.col(score) >= QUALITY).drop(score)
 
