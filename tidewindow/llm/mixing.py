@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of BLOCK documents, in an order given by a hash.  Time runs in slots of one block.
+Each source is cut into blocks of documents, in an order given by a hash.  Time runs in slots of one block.
 Block j (from 1) of a source of weight w is released at floor((j - 1) / w) and due at ceil(j / w); in every slot
 the released block with the earliest deadline goes first.  On one machine that keeps every source within one
 block of w * t after every slot t.
 
 Releases and deadlines come from the exact weights (as integers) over a whole phase.  When a source runs out, its phase
-ends and the others go on at their weights among themselves, until every document has its place.  The driver steps
-through the slots, one for BLOCK documents, and hands them over as a table, HELD slots at a time.
+ends and the others go on at their weights among themselves, until every document has its place.
+
+The driver steps through the slots and hands them over as a table, HELD slots at a time.  There are at most SLOTS of
+them and one a source, whatever the number of documents: a block has BLOCK documents, doubled until that suffices
+(32 up to 134 million documents).  What else the driver holds is a few numbers a source.
 """
 
 from __future__ import annotations
@@ -25,26 +28,15 @@ from pyspark.sql import functions as F
 from ..runtime import Scratch, settings
 from .names import spare
 
-#: Documents of a block, and slots that the driver holds at a time.
-BLOCK, HELD = 32, 1 << 18
-
-
-def quotas(weights: Mapping[str, float], frame: int) -> dict[str, int]:
-    """Blocks of each source in a frame: proportional, each at least 1, frame in total."""
-    if len(weights) > frame:
-        raise ValueError("a frame needs a slot for each source")
-    total = sum(weights.values())
-    spare = frame - len(weights)
-    share = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in share.items()}
-    for s in sorted(share, key=lambda s: (int(share[s]) - share[s], s))[: frame - sum(out.values())]:
-        out[s] += 1
-    return out
+#: Least documents of a block, slots in all, and slots that the driver holds at a time.
+BLOCK, SLOTS, HELD = 32, 1 << 22, 1 << 18
 
 
-def schedule(quota: Mapping[str, int]) -> list[str]:
-    """The source of each slot of a frame."""
-    return [s for s, _ in timetable(quota, quota)]
+def block_size(rows: int) -> int:
+    size = BLOCK
+    while size * SLOTS < rows:
+        size *= 2
+    return size
 
 
 def timetable(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int]]:
@@ -74,12 +66,12 @@ def timetable(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterat
         left = {s: n for s, n in left.items() if n}
 
 
-def placed(docs: DataFrame, scratch: Scratch, weights: Mapping[str, float] | None = None, block: int = BLOCK, frame: int | None = None) -> DataFrame:
+def placed(docs: DataFrame, scratch: Scratch, weights: Mapping[str, float] | None = None, block: int | None = None) -> DataFrame:
     """(doc_id, source, block, slot, place) of every row of docs(doc_id, source); place sorts rows into the mix.
 
     weights gives targets; a source without one weighs as much as its share of rows, which is also the default.
     A null source is the source ''.  Repeated rows and null ids have places of their own.  slot counts from 0 without
-    gaps.  An empty table gives an empty result.  Only if frame is given, weights are rounded to quotas of so many slots.
+    gaps.  An empty table gives an empty result.  block is the documents of a block, by default as block_size says.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")).withColumn("order", F.xxhash64("doc_id"))
@@ -97,8 +89,7 @@ def placed(docs: DataFrame, scratch: Scratch, weights: Mapping[str, float] | Non
     target = {s: float((weights or {}).get(s, n / total)) for s, n in sizes.items()}
     if any(w <= 0 for w in target.values()):
         raise ValueError("weights must be positive")
-    if frame and target:
-        target = quotas(target, frame)
+    block = block or block_size(total)
     slots = None
     times = enumerate(timetable({s: -(-n // block) for s, n in sizes.items()}, target))
     while piece := list(islice(times, HELD)):
@@ -109,13 +100,13 @@ def placed(docs: DataFrame, scratch: Scratch, weights: Mapping[str, float] | Non
     if slots is None:
         slots = spark.createDataFrame([], "source string, block long, slot long")
     offsets = spark.createDataFrame(offsets, "source string, part long, offset long")
-    ranked = ranged.withColumn("part", part).join(F.broadcast(offsets), ["source", "part"])
+    ranked = ranged.withColumn("part", part).join(offsets, ["source", "part"])
     ranked = ranked.withColumn("rank", F.col("row") + F.col("offset")).withColumn("block", F.floor(F.col("rank") / block))
     out = ranked.join(slots, ["source", "block"])
     return out.select("doc_id", "source", "block", "slot", (F.col("slot") * block + F.col("rank") % block).alias("place"))
 
 
-def in_mixed_order(docs: DataFrame, scratch: Scratch, weights: Mapping[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+def in_mixed_order(docs: DataFrame, scratch: Scratch, weights: Mapping[str, float] | None = None, block: int | None = None) -> DataFrame:
     """docs, all rows and columns, sorted into the mix; rows that share an id and source share a place."""
     id_, source, at = spare(docs, "id", "source", "place")
     place = placed(docs.select("doc_id", "source").distinct(), scratch, weights, block).select(
