@@ -1,13 +1,15 @@
 """Substring dedup by level-wise doubling.
 
-Level 25: among the 26 windows of 25 words inside any 50-word window, the one with the smallest hash is the
-same in every document that holds that window, so keeping only those (about one position in 13) loses no
-repeat.  The ones found in two or more different texts survive.
+Window lengths double from a short base up to the window: 13, 25, 50 words (halves are rounded up).  At the base, the
+window of smallest hash among all base windows inside a 50-word window stands for it: it is the same in every document
+that holds those 50 words, and only about one position in 20 stands for any.  At each level the windows that two or more
+different texts hold survive, and only those are extended to twice their length (to the right where that stays inside
+the 50-word window, else to the left) and tested again.  A level that leaves no candidate ends the loop.
 
-Level 50: only windows whose smallest half-length window survived are extended to twice that length, hashed
-with 128 bits, and grouped.  A window of a document is repeated when it also starts in a document of smaller
-id.  Nothing longer needs a level of its own: every repeat of 100 or more words is covered by its 50-word
-windows.
+At the last level the windows of WINDOW words whose stand-in survived are compared themselves, by two 64-bit hashes that
+differ from the hashing of words on (equal words have equal hashes; different windows meet with a chance of 2**-128 a
+pair).  A window of a document is repeated when it also starts in a document of smaller id.  Nothing longer needs a level
+of its own: every repeat of 100 or more words is covered by its 50-word windows.
 
 Documents with equal word sequences are folded first; only the first of them takes part in the levels.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import Scratch, settings
 from .names import spare
-from .words import WORD_BASES, Block, blocks, segment_min_positions, window_hashes
+from .words import BYTE_BASE_2, WORD_BASES, Block, blocks, release, segment_min_positions, window_hashes
 
 WINDOW = 50
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -42,41 +44,71 @@ def _list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
+def levels(window: int) -> list[int]:
+    """Lengths below the window, shortest first."""
+    return sorted({-(-window // 4), -(-window // 2)} - {window})
+
+
+def _stand_ins(tokens: np.ndarray, window: int, lengths: list[int]) -> np.ndarray:
+    """For each window of a document, where the window of the last of lengths that stands for it begins."""
+    at = segment_min_positions(window_hashes(tokens, lengths[0]), window - lengths[0] + 1)
+    start = np.arange(len(at))
+    for short, long in zip(lengths, lengths[1:]):
+        at = np.where(at - start <= window - long, at, at + short - long)
+    return at
+
+
+def _alive(tokens: np.ndarray, window: int, lengths: list[int], live: np.ndarray) -> np.ndarray:
+    """Of each window of a document: whether its stand-in of the last of lengths is among live."""
+    at = _stand_ins(tokens, window, lengths)
+    used = np.unique(at)
+    ok = np.zeros(len(tokens), dtype=bool)
+    ok[used] = np.isin(window_hashes(tokens, lengths[-1])[used].view(np.int64), live)
+    return ok[at]
+
+
 def _scan(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    half = window // 2
+    base = levels(window)[:1]
     for b in batches:
         for k in blocks(b.column(2)):
-            hashes = window_hashes(k.hashes(), half)
+            tokens = k.hashes()
             shas, picked = [], []
             for i in range(k.hi - k.lo):
-                lo, hi = k.first[i], k.first[i + 1]
+                own = tokens[k.first[i] : k.first[i + 1]]
                 shas.append(hashlib.sha256(_joined(k, i)).hexdigest())
-                x = hashes[lo : max(lo, hi - half + 1)] if hi - lo >= window else hashes[:0]
-                picked.append(np.unique(x[np.unique(segment_min_positions(x, window - half + 1))]).view(np.int64))
+                picked.append(np.unique(window_hashes(own, base[0])[np.unique(_stand_ins(own, window, base))]).view(np.int64) if len(own) >= window else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0)[k.lo : k.hi], b.column(1)[k.lo : k.hi], pa.array(shas), pa.array(np.diff(k.first), type=pa.int64()), _list_array(picked, pa.int64())],
                 ["doc_id", "key", "sha", "n_words", "grams"],
             )
+    release()
+
+
+def _extend(batches: Iterator[pa.RecordBatch], window: int, lengths: list[int]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, key, text, live): the stand-ins of the last of lengths for windows that are alive at the one before."""
+    for b in batches:
+        for k in blocks(b.column(2)):
+            tokens, picked = k.hashes(), []
+            for i in range(k.hi - k.lo):
+                own = tokens[k.first[i] : k.first[i + 1]]
+                alive = _alive(own, window, lengths[:-1], b.column(3)[k.lo + i].values.to_numpy())
+                picked.append(np.unique(window_hashes(own, lengths[-1])[np.unique(_stand_ins(own, window, lengths)[alive])]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0)[k.lo : k.hi], b.column(1)[k.lo : k.hi], _list_array(picked, pa.int64())], ["doc_id", "key", "grams"])
+    release()
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    half = window // 2
+    """Rows (doc_id, key, text, live): the windows that are alive at the level below."""
     for b in batches:
-        live = b.column(3)
         for k in blocks(b.column(2)):
             tokens = k.hashes()
-            halves, one, two = (window_hashes(tokens, n, base) for n, base in ((half, WORD_BASES[0]), (window, WORD_BASES[0]), (window, WORD_BASES[1])))
+            one, two = window_hashes(tokens, window, WORD_BASES[0]), window_hashes(k.hashes(BYTE_BASE_2), window, WORD_BASES[1])
             rows, places = [], []
             for i in range(k.hi - k.lo):
                 lo, hi = k.first[i], k.first[i + 1]
                 if hi - lo < window:
                     continue
-                x = halves[lo : hi - half + 1]
-                smallest = segment_min_positions(x, window - half + 1)
-                used = np.unique(smallest)
-                alive = np.zeros(len(x), dtype=bool)
-                alive[used] = np.isin(x[used].view(np.int64), live[k.lo + i].values.to_numpy())
-                at = np.flatnonzero(alive[smallest])
+                at = np.flatnonzero(_alive(tokens[lo:hi], window, levels(window), b.column(3)[k.lo + i].values.to_numpy()))
                 rows.append(np.full(len(at), k.lo + i))
                 places.append(at + lo)
             rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -88,6 +120,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                     [pa.array(one[p].view(np.int64)), pa.array(two[p].view(np.int64)), b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r)), pa.array(local[s : s + (1 << 16)].astype(np.int32))],
                     ["w1", "w2", "doc_id", "key", "pos"],
                 )
+    release()
 
 
 def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -111,6 +144,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterato
                 kept = _joined(k, i, ~covered)
                 out.append(kept.decode() if texts else hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0)[k.lo : k.hi], b.column(1)[k.lo : k.hi], pa.array(gone, type=pa.int64()), pa.array(out)], ["doc_id", "key", "n_removed", "kept"])
+    release()
 
 
 class Repeats:
@@ -122,8 +156,8 @@ class Repeats:
     """
 
     def __init__(self, docs: DataFrame, scratch: Scratch, window: int = WINDOW):
-        if window < 2 or window % 2:
-            raise ValueError("window must be even")
+        if window < 2:
+            raise ValueError("a window has two words or more")
         self.docs = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
         self.scratch, self.window = scratch, window
         scan = scratch.save(self.docs.mapInArrow(partial(_scan, window=window), "doc_id long, key long, sha string, n_words long, grams array<long>"), "scan")
@@ -131,21 +165,38 @@ class Repeats:
         self.scan = scan.select("doc_id", "key", "sha", "n_words").join(least, "sha")
         firsts = scan.filter(F.size("grams") > 0).select("doc_id", "sha", "key", "grams")
         firsts = firsts.join(least.withColumnRenamed("least", "doc_id"), ["doc_id", "sha"], "left_semi")
-        grams = scratch.save(firsts.select("doc_id", "key", F.explode("grams").alias("gram")), "grams")
-        repeated = scratch.save(grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"), "repeated")
-        live = scratch.save(grams.join(repeated, "gram").groupBy("doc_id", "key").agg(F.collect_list("gram").alias("live"), F.count("*").alias("n_live")), "live")
-        scratch.drop(grams)
-        picked = self.docs.join(live.filter("n_live > 0").drop("n_live"), ["doc_id", "key"]).select("doc_id", "key", "text", "live")
+        #: (length, different windows that survive, documents that hold them) of each level
+        self.survived: list[tuple[int, int, int]] = []
+        live = self._survivors(firsts, levels(window)[0])
+        for i in range(2, len(levels(window)) + 1):
+            if not self.survived[-1][1]:
+                break
+            lengths = levels(window)[:i]
+            longer = self._with_text(live, "live").mapInArrow(partial(_extend, window=window, lengths=lengths), "doc_id long, key long, grams array<long>")
+            shorter, live = live, self._survivors(longer, lengths[-1])
+            scratch.drop(shorter)
+        picked = self._with_text(live, "live")
         windows = scratch.save(picked.mapInArrow(partial(_windows, window=window), "w1 long, w2 long, doc_id long, key long, pos int"), "windows")
         first = scratch.save(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("w1", "w2", "low"), "first")
         later = windows.join(first, ["w1", "w2"]).filter("doc_id > low")
         self.hits = scratch.save(later.groupBy("doc_id", "key").agg(F.collect_list("pos").alias("starts"), F.count("*").alias("n_starts")), "hits")
         scratch.drop(windows, first)
 
+    def _survivors(self, grams: DataFrame, length: int) -> DataFrame:
+        """(doc_id, key, live, n_live): of rows (doc_id, key, grams), the grams that different documents hold."""
+        each = self.scratch.save(grams.select("doc_id", "key", F.explode("grams").alias("gram")), f"grams{length}")
+        repeated = self.scratch.save(each.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"), f"repeated{length}")
+        live = self.scratch.save(each.join(repeated, "gram").groupBy("doc_id", "key").agg(F.collect_list("gram").alias("live"), F.count("*").alias("n_live")), f"live{length}")
+        self.survived.append((length, repeated.count(), live.count()))
+        self.scratch.drop(each, repeated)
+        return live
+
+    def _with_text(self, some: DataFrame, column: str) -> DataFrame:
+        return self.docs.join(some.filter(f"n_{column} > 0").drop(f"n_{column}"), ["doc_id", "key"]).select("doc_id", "key", "text", column)
+
     def cut(self, texts: bool) -> DataFrame:
         """(doc_id, key, n_removed, kept) of the documents with hits; kept is the text, or its SHA-256."""
-        picked = self.docs.join(self.hits.filter("n_starts > 0").drop("n_starts"), ["doc_id", "key"]).select("doc_id", "key", "text", "starts")
-        out = picked.mapInArrow(partial(_cut, window=self.window, texts=texts), "doc_id long, key long, n_removed long, kept string")
+        out = self._with_text(self.hits, "starts").mapInArrow(partial(_cut, window=self.window, texts=texts), "doc_id long, key long, n_removed long, kept string")
         return out.dropDuplicates(["doc_id", "key"])
 
     @property

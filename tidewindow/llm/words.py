@@ -17,7 +17,7 @@ import pyarrow as pa
 BLOCK = 1 << 19
 U = np.uint64
 #: Odd multipliers of the byte-level and word-level polynomial hashes.
-BYTE_BASE, WORD_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+BYTE_BASE, BYTE_BASE_2, WORD_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -105,8 +105,8 @@ class Block:
         self.ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.buf, self.starts, self.ends)
+    def hashes(self, base: int = BYTE_BASE) -> np.ndarray:
+        return span_hashes(self.buf, self.starts, self.ends, base)
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and first-of-document of the block's tokens: runs of letters and digits (bytes over
