@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -78,6 +79,55 @@ def test_against_brute_force(spark, frame):
     assert sorted((r.component_id is None) for r in got if r.doc_id is None) == [False, True]
 
 
+def test_finer_keys_lose_no_pair():
+    rng = np.random.default_rng(4)
+    for half in (0, 1):
+        x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        flips = np.array([sum(1 << int(b) for b in rng.choice(32, 3, replace=False)) for _ in range(400)], dtype=np.uint64)
+        y = x ^ (flips << np.uint64(32 if half == 0 else 0))
+        anchor, sub = np.full(400, half << 32, dtype=np.int64), np.zeros(400, np.int32)
+        a, b = S.sub_keys(anchor, sub, x), S.sub_keys(anchor, sub, y)
+        assert all(any(p[i] == q[i] for p, q in zip(a, b)) for i in range(400))
+        for p, q in zip(a, b):
+            at = np.flatnonzero(p == q)
+            c, d = S.sub_keys(anchor[at], p[at], x[at]), S.sub_keys(anchor[at], p[at], y[at])
+            assert (np.stack(c) == np.stack(d)).any(axis=0).all() and np.stack(c).min() > 1024
+
+
+def test_thousands_of_fingerprints_at_one_anchor(spark):
+    """One half is the same throughout; the other is compared with all its neighbours by lookup."""
+    bits, rng = 25, np.random.default_rng(6)
+    high = rng.choice(1 << bits, 30_000, replace=False).astype(np.int64)
+    df = spark.createDataFrame([(int(h << 32 | 5),) for h in high], "fp long")
+    scratch = Scratch(spark, "t")
+    got = {r.node: r.root for r in S.components(S.links(df, scratch), scratch).collect()}
+    label = np.full(1 << bits, -1, dtype=np.int32)
+    label[high] = np.arange(len(high))
+    masks = [sum(1 << b for b in c) for k in (1, 2, 3) for c in itertools.combinations(range(bits), k)]
+    pairs = [(at, label[high[at] ^ m]) for m in masks for at in [np.flatnonzero(label[high ^ m] >= 0)]]
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    top = np.arange(len(high))
+    while True:
+        new = top.copy()
+        np.minimum.at(new, a, top[b])
+        new = new[new]
+        if (new == top).all():
+            break
+        top = new
+    mine = np.array([got.get(int(h << 32 | 5), int(h << 32 | 5)) for h in high])
+    _, first = np.unique(mine, return_inverse=True)
+    assert len(set(zip(first.tolist(), top.tolist()))) == len(set(first.tolist())) == len(set(top.tolist()))
+
+
+def test_one_of_each_with_ties_and_missing_ids(spark):
+    rows = [(5, "a b c d", "x"), (5, "a b c d", "x"), (5, "q r s t u", "y"), (9, "A b c d", "z"), (2, "q r s t u", "w"), (None, "n o p", "1"), (None, "n o p", "2"), (None, None, "3"), (None, "", "4"), (7, "a b c d", "5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string")
+    got = S.one_of_each(docs, Scratch(spark, "t"))
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+    assert kept == [(0, ""), (0, "n o p"), (2, "q r s t u"), (5, "a b c d")]
+
+
 def test_chain_and_hot_group(spark):
     fps = [0]
     for i in range(20):  # a chain: each three bits from the last

@@ -8,7 +8,11 @@ either.  Rows that meet at an anchor are compared in full, so only true links le
 
 Only distinct fingerprints travel: copies were folded before.  At one anchor a search outward from linked
 fingerprints compares each with those not reached yet, and emits a spanning forest instead of all pairs.
-An anchor's fingerprints are 8 bytes each in its task.
+
+An anchor of more than LARGE fingerprints is split by the other half.  That differs in at most 3 bits, so of its four
+bytes at least one is equal: copies go to four keys (which byte, its value), and a linked pair still meets at one.  A
+key that is large even so is split again, by four groups of six of the 24 bits left, for the same reason.  A task
+thus holds small groups only.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import Scratch, settings
 from .components import components
-from .words import LOWER_BYTES, raw_text
+from .names import spare
+from .words import LOWER_BYTES, raw_text, release
 
 U = np.uint64
 THRESHOLD = 3
@@ -55,10 +60,11 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        buf, offsets = raw_text(b.column(1))
+        buf, offsets = raw_text(b.column(2))
         data = memoryview(buf)
         fps = np.fromiter((fingerprint(bytes(data[s:e]), width) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())), U, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "key", "fp"])
+    release()
 
 
 #: Pairs of positions 1..31 by their exclusive or: the codewords two flips away from a half of that syndrome.
@@ -93,7 +99,33 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for half in (0, 1):
                 rows, anchor = anchors((part >> U(32 * half)) & U(0xFFFFFFFF))
                 key = (anchor | U(half << 32)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[rows].view(np.int64))], ["anchor", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(rows), np.int32)), pa.array(part[rows].view(np.int64))], ["anchor", "sub", "fp"])
+
+
+#: Fingerprints of a group beyond which it is split.
+LARGE = 4096
+
+
+def sub_keys(anchor: np.ndarray, sub: np.ndarray, fps: np.ndarray) -> list[np.ndarray]:
+    """Four finer keys of each row: sub 0 is a whole anchor, 1..1024 a byte of the other half and its value."""
+    other = np.where((anchor.view(U) >> U(32)) & U(1), fps & U(0xFFFFFFFF), fps >> U(32))
+    whole = sub == 0
+    byte = np.where(whole, 0, (sub - 1) // 256).astype(U)
+    low = other & ((U(1) << (U(8) * byte)) - U(1))
+    rest = low | (other >> (U(8) * byte + U(8)) << (U(8) * byte))  # the 24 bits beside the byte
+    out = []
+    for i in range(4):
+        first = 1 + 256 * i + ((other >> U(8 * i)) & U(0xFF)).astype(np.int64)
+        second = 1024 + 256 * (sub.astype(np.int64) - 1) + 64 * i + ((rest >> U(6 * i)) & U(0x3F)).astype(np.int64) + 1
+        out.append(np.where(whole, first, second).astype(np.int32))
+    return out
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        anchor, sub, fps = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(U)
+        for finer in sub_keys(anchor, sub, fps):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(finer), b.column(2)], ["anchor", "sub", "fp"])
 
 
 def spanning_links(fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -117,7 +149,7 @@ FEW = 8
 
 
 def _links_of(key: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """key is sorted."""
+    """Equal keys stand together."""
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((first, [len(key)])))
     of = np.repeat(size, size)
@@ -137,9 +169,9 @@ def _links_of(key: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndar
 
 
 def _link(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by anchor; the last anchor of what is held waits for its remaining rows."""
+    """Batches come sorted by anchor and sub; the last group of what is held waits for its remaining rows."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    rows = 0
+    rows, number, last = 0, 0, None
 
     def emit(key, fps):
         a, b = _links_of(key, fps, threshold)
@@ -149,35 +181,59 @@ def _link(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Reco
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U)))
+        anchor, sub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.concatenate(([last is not None and last != (anchor[0], sub[0])], (anchor[1:] != anchor[:-1]) | (sub[1:] != sub[:-1])))
+        key = number + np.cumsum(new)  # groups by number
+        number, last = int(key[-1]), (anchor[-1], sub[-1])
+        held.append((key, batch.column(2).to_numpy().view(U)))
         rows += batch.num_rows
-        if rows >= 1 << 17 and held[-1][0][-1] != held[0][0][0]:
+        if rows >= 1 << 17 and held[0][0][0] != number:
             key, fps = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.searchsorted(key, key[-1]))
+            cut = int(np.searchsorted(key, number))
             yield from emit(key[:cut], fps[:cut])
             held, rows = [(key[cut:], fps[cut:])], 0
     if held:
         yield from emit(*(np.concatenate(x) for x in zip(*held)))
+    release()
+
+
+def links(fps: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
+    """Of different fingerprints fps(fp): (a, b), links that join what all pairs within threshold join."""
+    if not 0 <= threshold <= THRESHOLD:
+        raise ValueError("the anchors cover thresholds up to 3")
+    key = ["anchor", "sub"]
+    schema = "anchor long, sub int, fp long"
+    rows, parts = fps.select("fp").mapInArrow(_replicate, schema), []
+    for _ in range(2):
+        large = scratch.save(rows.groupBy(*key).count().filter(F.col("count") > LARGE).select(*key), "large")
+        if large.isEmpty():
+            break
+        parts.append(rows.join(large, key, "left_anti"))
+        rows = scratch.save(rows.join(large, key, "left_semi").select("anchor", "sub", "fp").mapInArrow(_split, schema), "split")
+    parts.append(rows)
+    met = parts[0]
+    for p in parts[1:]:
+        met = met.unionByName(p)
+    return met.repartition(*key).sortWithinPartitions(*key).mapInArrow(partial(_link, threshold=threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, width: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs(doc_id, text).
+    """(doc_id, key, fp, class, component_id) for every row of docs(doc_id, text).
 
-    component_id is the smallest doc_id that links of threshold bits or fewer reach, the row's own included.
-    A null text has no words and fingerprint zero; a null doc_id takes the component of its fingerprint and
-    never names one (null if no other row is reached).  An empty table gives an empty result.
+    component_id is the smallest doc_id that links of threshold bits or fewer reach, the row's own included; class, a
+    fingerprint, tells components apart even where no row has an id; key is a hash of the text.  A null text has no
+    words and fingerprint zero; a null doc_id takes the component of its fingerprint and never names one (null if no
+    other row is reached).  Repeated rows stay.  An empty table gives an empty result.
     """
-    if not 0 <= threshold <= THRESHOLD:
-        raise ValueError("the anchors cover thresholds up to 3")
-    prints = scratch.save(docs.select("doc_id", "text").mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long"), "prints")
+    made = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(partial(_fingerprints, width=width), "doc_id long, key long, fp long")
+    prints = scratch.save(made, "prints")
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    met = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
-    roots = components(met.mapInArrow(partial(_link, threshold=threshold), "a long, b long"), scratch)
+    roots = components(links(distinct, scratch, threshold), scratch)
     linked = scratch.save(roots.join(distinct.withColumnRenamed("fp", "node"), "node").select("node", "root", "least"), "linked")
     least = scratch.save(linked.groupBy("root").agg(F.min("least").alias("component")), "least")
-    named = linked.join(least, "root").select(F.col("node").alias("fp"), "component")
-    classes = scratch.save(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(least, "root").select(F.col("node").alias("fp"), "root", "component")
+    found = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("class"), F.coalesce("component", "least").alias("component_id"))
+    return prints.join(scratch.save(found, "classes"), "fp").select("doc_id", "key", "fp", "class", "component_id")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -187,7 +243,25 @@ def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of docs that are the first of their near-duplicate group; rows without a doc_id stay."""
-    found = near_duplicates(docs, scratch)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each near-duplicate group of docs: the one of smallest doc_id (rows without an id come last), and of
+    several rows of that id the one whose text has the smallest hash.
+
+    Rows that repeat it, id and text, go too.  All columns stay; an empty table gives an empty result.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    found = scratch.save(near_duplicates(docs, scratch).groupBy("class", "doc_id", "key").agg(F.count("*").alias("n")), "found")
+    first = scratch.save(found.groupBy("class").agg(F.min(order).alias("first")), "firsts")
+    rows = found.join(first, "class").withColumn("stays", order == F.col("first"))
+    gone = scratch.save(rows.filter("NOT stays").select("doc_id", "key"), "gone")
+    again = scratch.save(rows.filter("stays AND n > 1").select("doc_id", "key"), "again")
+    id_, key = spare(docs, "id", "key")
+
+    def of(side: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        other = side.select(F.col("doc_id").alias(id_), F.col("key").alias(key))
+        return left.join(other, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), how)
+
+    kept = of(gone, "left_anti", docs)
+    if again.isEmpty():
+        return kept
+    once = of(again, "left_semi", docs).withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).drop(key)
+    return of(again, "left_anti", kept).unionByName(once)
