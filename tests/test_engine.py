@@ -1,10 +1,14 @@
 """The engine against golden cases of its contract."""
 
+import time
+
 import pytest
 
+from tidewindow.cli import Shell
 from tidewindow.config import Config, Dtype, Metric
 from tidewindow.engine import Engine, MetricsSink
 from tidewindow.errors import Code, EngineError, error_string, is_error, is_warning
+from tidewindow.sources.cold import NullBackend
 
 
 def make(spark, dim=4, **options):
@@ -158,3 +162,145 @@ def test_append_frame(spark):
         e.append("s", 0, (1,))
         e.append_frame(spark.createDataFrame([("s", 7, 5, [2.0]), ("s", 3, 4, [3.0]), ("t", 1, 1, [1.0])], "sensor_id string, seq long, ts long, vec array<float>"))
         assert [(r.seq, r.ts) for r in e.hot_rows().filter("sensor_id = 's'").orderBy("seq").collect()] == [(0, 0), (1, 4), (2, 5)] and e.list_sensors() == ["s", "t"]
+
+
+class Ears(MetricsSink):
+    def __init__(self):
+        self.heard = []
+
+    def on_append(self, sensor_id, latency_ns):
+        self.heard.append(("append", sensor_id))
+
+    def on_query(self, sensor_id, latency_ns):
+        self.heard.append(("query", sensor_id))
+
+    def on_anomaly_detected(self, sensor_id, distance):
+        self.heard.append(("anomaly", sensor_id))
+
+    def on_overwrite(self, sensor_id, count):
+        self.heard.append(("overwrite", count))
+
+    def on_eviction(self, sensor_id, rows, size):
+        self.heard.append(("eviction", rows))
+
+    def on_flush_error(self, sensor_id, code):
+        self.heard.append(("flush_error", int(code)))
+
+    def on_warning(self, sensor_id, code):
+        self.heard.append(("warning", int(code)))
+
+
+def test_sinks_hear(spark):
+    ears = Ears()
+    with Engine.create(spark, Config(1, ring_capacity=64), sink=ears) as e:
+        e.append("s", 0, (1,))
+        e.append_batch("s", range(70), [(1,)] * 70)  # a batch is not told
+        assert ears.heard == [("append", "s")] and e.get_stats()["total_overwritten_entries"] == 7
+        e.append("s", 99, (1,))
+        assert ears.heard[1:] == [("overwrite", 1), ("append", "s")]
+        e.query_nearest_n("s", (1,), 100)
+        e.detect_anomaly("s", (-1,), 0.5)
+        assert sorted(ears.heard[3:]) == [("anomaly", "s"), ("query", "s"), ("warning", 2)]
+
+
+def test_a_batch_is_all_or_nothing(spark):
+    with make(spark, dim=2) as e:
+        e.append("s", 0, (1, 2))
+        for bad in ([(1, 2), (1, float("nan"))], [(1, 2), (1,)], [(1, 2)]):
+            assert code_of(e.append_batch, "s", [1, 2], bad) in (Code.INVALID_ARG, Code.DIM_MISMATCH)
+        assert e.get_stats()["total_appends"] == 1 and e.hot_rows().count() == 1
+
+
+class Broken(NullBackend):
+    def __init__(self):
+        self.fail, self.written, self.flushed = True, [], 0
+
+    def write_blocks(self, rows):
+        if self.fail:
+            raise EngineError(Code.IO, "disk")
+        self.written.append(rows.count())
+
+    def flush(self):
+        self.flushed += 1
+
+
+def test_backends_of_ones_own(spark):
+    ears, backend = Ears(), Broken()
+    with Engine.create(spark, Config(1, ring_capacity=64), sink=ears, backend=backend) as e:
+        e.append_batch("s", [0, 1, 1000], [(1,)] * 3)
+        assert code_of(e.maintain_sliding_window, 100) == Code.IO and ears.heard == [("flush_error", -4)]
+        assert e.hot_rows().count() == 3 and e.get_stats()["flush_errors_total"] == 1  # nothing is forgotten that was not written
+        backend.fail = False
+        e.maintain_sliding_window(100)
+        e.flush()
+        assert backend.written == [2, 1] and backend.flushed == 1 and e.hot_rows().count() == 0
+    null = NullBackend()
+    assert null.list_sensors() == null.list_blocks("s") == [] and null.read_metadata() is None and null.bytes_estimate() == 0 and null.rows() is None
+    assert code_of(null.read_block, "s", 0) == Code.NOT_FOUND and null.write_metadata({}) is None and null.delete_sensor("s") is None
+
+
+def test_the_timer_evicts(spark):
+    with make(spark, dim=1, ring_capacity=128, window_ms=100, eviction_interval_ms=300) as e:
+        e.append_batch("s", [*range(50), 1000], [(1,)] * 51)
+        began = time.time()
+        while e.get_stats()["total_evictions"] == 0 and time.time() - began < 60:
+            time.sleep(0.2)
+        assert [r.ts for r in e.hot_rows().collect()] == [1000]
+        timer = e._timer
+    assert not timer.is_alive()
+
+
+def test_corrupt_blocks(spark, tmp_path):
+    path = str(tmp_path / "cold")
+    e = Engine.create(spark, Config(1, ring_capacity=64, window_ms=1000, recover_hot_window=True), path)
+    for t in (10, 20, 30):
+        e.append("s", t, (t,))
+        e.flush()
+    e.close()
+    (part,) = (tmp_path / "cold/blocks/sensor_id=s/block_id=1").glob("*.parquet")
+    part.write_bytes(b"PAR1 this is no table PAR1")
+    for crc in part.parent.glob(".*.crc"):
+        crc.unlink()
+    assert code_of(e.backend.read_block, "s", 1) == Code.CORRUPTION and e.backend.read_block("s", 2).count() == 1
+    with Engine.open(spark, path, now_ms=40) as again:
+        assert sorted(r.ts for r in again.hot_rows().collect()) == [10, 30] and again.backend.list_blocks("s") == [0, 1, 2]
+
+
+def test_many_pieces_become_one(spark):
+    with make(spark, dim=1, ring_capacity=64) as e:
+        for i in range(20):
+            e.append("s", i, (i,))
+            e._settle()
+        assert len(e._pieces) < 18 and sorted(r.ts for r in e.hot_rows().collect()) == list(range(20))
+
+
+def test_shell_transcript(spark):
+    said = []
+    lines = """create dim=4
+# a comment
+
+create dim=5
+append s1 100 1,0,0,0
+append s1 200 0.9,0.1,0,0
+append s1 300 0,1,0,0
+query s1 1,0,0,0 n=3
+range s1 100 200
+anomaly s1 0,1,0,0 t=0.4
+anomaly s1 0.95,0.05,0,0 t=0.5
+append s1 1
+query who 1,0,0,0
+nonsense
+maintain 100
+list
+drop s1
+list
+close
+list
+quit
+append s1 400 1,1,1,1"""
+    Shell(spark, said.append).run(lines.split("\n"))
+    assert said[1:] == [
+        "engine created (dim=4)", "already have an engine: close it first", "ok", "ok", "ok", "  ts=100  score=1.000000", "  ts=200  score=0.993884", "  ts=300  score=0.000000",
+        "  ts=100  vec=[1.0000,0.0000,0.0000,0.0000]", "  ts=200  vec=[0.9000,0.1000,0.0000,0.0000]", "anomaly", "normal", "usage: append SENSOR TS x,y,...", "error: not found: who",
+        "unknown command: nonsense", "ok", "  s1", "1 sensor(s)", "ok", "0 sensor(s)", "ok", "no engine: create one first",
+    ]

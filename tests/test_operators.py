@@ -9,7 +9,6 @@ from tidewindow.config import Config, Dtype, Metric
 from tidewindow.errors import EngineError
 from tidewindow.operators import report, search, window
 from tidewindow.operators.ingest import entries
-from tidewindow.plans import catalog
 from tidewindow.sources import codec, vectorfiles
 
 ROW = "sensor_id string, seq long, ts long, vec array<float>"
@@ -94,9 +93,47 @@ def test_codec_and_files(spark, tmp_path):
     assert [r["values"] for r in vectorfiles.read(spark, str(tmp_path / "a.fbin")).orderBy("row").collect()] == m.tolist()
 
 
-def test_stream_agrees_with_batch_replay(spark):
-    """Eight micro-batches of seq ranges, a pass after each, as a plain loop over the same batches."""
-    sf = "/root/testdata/sf0.001"
-    got = {r.sensor_id: (r.hot_rows, r.lost_rows, r.evicted_rows) for r in catalog.streaming_ring(spark, sf).collect()}
-    total = {r.sensor_id: r["count"] for r in catalog.embeddings(spark, sf).groupBy("sensor_id").count().collect()}
-    assert all(sum(got[s]) == n and got[s][0] <= catalog.CAPACITY for s, n in total.items()) and set(got) == set(total)
+def test_block_reader(spark):
+    rng = np.random.default_rng(2)
+    blocks = [
+        ("a", 0, codec.encode(codec.Block(np.array([5, 3]), rng.normal(size=(2, 3)).astype("f4")))),
+        ("a", 1, codec.encode(codec.Block(np.array([9]), np.array([[1, -2, 3]], "i1"), np.array([0.5], "f4"), np.array([[7, 8]], np.uint8)))),
+        ("b", 0, b"not a block"), ("b", 1, None),
+    ]
+    df = spark.createDataFrame(blocks, "sensor_id string, block_id long, data binary")
+    rows = codec.import_blocks(df, ["vec", "q8", "scale", "payload", "ts"], skip_corrupt=True).orderBy("block_id", "pos").collect()
+    assert [(r.ts, r.q8, r.scale, r.payload) for r in rows] == [(5, None, None, None), (3, None, None, None), (9, [1, -2, 3], 0.5, bytearray(b"\x07\x08"))]
+    assert rows[2].vec == [0.5, -1.0, 1.5] and codec.import_blocks(df, ["ts"], skip_corrupt=True).columns == ["sensor_id", "block_id", "pos", "ts"]
+    with pytest.raises(Exception, match="corruption"):
+        codec.import_blocks(df).collect()
+    with pytest.raises(ValueError):
+        codec.import_blocks(df, ["other"])
+    back = codec.export_blocks(codec.import_blocks(df, ["ts", "q8", "scale", "payload"], skip_corrupt=True).filter("q8 IS NOT NULL"))
+    assert bytes(back.first().data) == blocks[1][2]
+
+
+def test_stream_agrees_with_a_plain_loop(spark, tmp_path):
+    """Late rows, a sensor that rests, and passes after every micro-batch."""
+    import random
+
+    from tidewindow.streaming.ring import run_over_files
+
+    rng, cap, window = random.Random(3), 8, 50
+    batches = [[(s, k * 100 + i, k * 40 + rng.randrange(-80, 40)) for s in ("a", "b", "c") if rng.random() < 0.8 for i in range(rng.choice([1, 4, 12]))] for k in range(5)]
+    hot, lost, gone = {}, {}, {}
+    for b in batches:
+        for s in sorted({x[0] for x in b}):
+            ring = hot.setdefault(s, [])
+            ring += [x[1:] for x in b if x[0] == s]
+            over = max(0, len(ring) - cap)
+            lost[s] = lost.get(s, 0) + over
+            del ring[:over]
+            newest = max(t for _, t in ring)
+            keep = next(i for i, (_, t) in enumerate(ring) if t >= newest - window)
+            gone.setdefault(s, []).extend(x for x, _ in ring[:keep])
+            del ring[:keep]
+        spark.createDataFrame([(*x, [1.0]) for x in b], "sensor_id string, seq long, ts long, vec array<float>").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    out = run_over_files(spark, f"{tmp_path}/in", "sensor_id string, seq long, ts long, vec array<float>", cap, window, f"{tmp_path}/check", f"{tmp_path}/out").collect()
+    for s in hot:
+        last = max((r for r in out if r.sensor_id == s and r.event == "pass"), key=lambda r: r.batch)
+        assert (last.hot_rows, last.lost_rows) == (len(hot[s]), lost[s]) and sorted(r.seq for r in out if r.sensor_id == s and r.event == "evicted") == sorted(gone[s])

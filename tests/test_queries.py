@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from tidewindow.plans import catalog
+from tidewindow.plans import catalog, tiers  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -13,7 +13,7 @@ from .engine import Engine, version_string
 from .errors import EngineError
 
 USAGE = {
-    "create": "create dim=N [dtype=f32|int8] [metric=cosine|euclidean] [capacity=N] [window=MS] [max=N] [path=DIR]", "preallocate": "preallocate SENSOR", "append": "append SENSOR TS x,y,...",
+    "create": "create dim=N [dtype=f32|int8] [metric=cosine|euclidean] [capacity=N] [window=MS] [interval=MS] [max=N] [path=DIR]", "preallocate": "preallocate SENSOR", "append": "append SENSOR TS x,y,...",
     "query": "query SENSOR x,y,... [n=5]", "range": "range SENSOR T0 T1 [max=10]", "anomaly": "anomaly SENSOR x,y,... [t=0.5]", "drop": "drop SENSOR", "list": "list", "stats": "stats",
     "maintain": "maintain MS", "flush": "flush", "close": "close", "help": "help", "quit": "quit",
 }
@@ -27,7 +27,7 @@ class Shell:
         self.say(f"tidewindow {version_string()} (type help for commands)")
         for line in lines:
             words = line.split()
-            if not words:
+            if not words or words[0].startswith("#"):
                 continue
             if words[0] in ("quit", "exit"):
                 break
@@ -45,10 +45,13 @@ class Shell:
                 self.say(f"  {u}")
             return
         if name == "create":
+            if self.engine is not None:
+                self.say("already have an engine: close it first")
+                return
             kinds = {"f32": Dtype.FLOAT32, "int8": Dtype.INT8}
             c = Config(
                 int(options["dim"]), dtype=kinds[options.get("dtype", "f32")], metric=Metric[options.get("metric", "cosine").upper()], ring_capacity=int(options.get("capacity", 0)),
-                window_ms=int(options.get("window", 0)), max_sensors=int(options.get("max", 0)),
+                window_ms=int(options.get("window", 0)), eviction_interval_ms=int(options.get("interval", 0)), max_sensors=int(options.get("max", 0)),
             )
             self.engine = Engine.create(self.spark, c, options.get("path"))
             self.say(f"engine created (dim={c.dim})")
@@ -80,6 +83,8 @@ class Shell:
                 "preallocate": lambda: e.preallocate_sensor(args[0]), "append": lambda: e.append(args[0], int(args[1]), vec(args[2])), "drop": lambda: e.drop_sensor(args[0]),
                 "maintain": lambda: e.maintain_sliding_window(int(args[0])), "flush": e.flush, "close": e.close,
             }[name]()
+            if name == "close":
+                self.engine = None
             self.say("ok")
 
 

@@ -46,3 +46,8 @@ def percentiles(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
 def growth(df: DataFrame, value: str, order: str, baseline: float) -> DataFrame:
     """Percent change of value against a baseline."""
     return df.orderBy(order).withColumn("growth_pct", (F.col(value) - baseline) / baseline * 100)
+
+
+def means(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """The mean of each column (nulls left out) as mean_<column>; partial sums before the shuffle."""
+    return df.groupBy(*([by] if by else [])).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])

@@ -11,9 +11,11 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..config import Config, Dtype, Metric
@@ -89,12 +91,66 @@ def decode_metadata(data: bytes) -> Config:
 
 
 def export_blocks(rows: DataFrame) -> DataFrame:
-    """rows(sensor_id, block_id, pos, ts, vec) -> (sensor_id, block_id, data), a block each, for float vectors."""
+    """rows(sensor_id, block_id, pos, ts, vec or q8 and scale[, payload]) -> (sensor_id, block_id, data), a block each.
+
+    Payloads are written if every row of a block has one; they are of one length then.
+    """
     import pandas as pd
 
+    int8 = "q8" in rows.columns
+    columns = ["sensor_id", "block_id", "pos", "ts", *(["q8", "scale"] if int8 else ["vec"]), *(["payload"] if "payload" in rows.columns else [])]
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        data = encode(Block(pdf["ts"].to_numpy(), np.stack(pdf["vec"].to_list())))
+        payloads = None
+        if "payload" in pdf and pdf["payload"].notna().all() and len(pdf["payload"].iloc[0]):
+            payloads = np.stack([np.frombuffer(x, np.uint8) for x in pdf["payload"]])
+        vectors = np.stack(pdf["q8" if int8 else "vec"].to_list())
+        data = encode(Block(pdf["ts"].to_numpy(), vectors, pdf["scale"].to_numpy() if int8 else None, payloads))
         return pd.DataFrame({"sensor_id": [pdf["sensor_id"].iloc[0]], "block_id": [pdf["block_id"].iloc[0]], "data": [data]})
 
-    return rows.select("sensor_id", "block_id", "pos", "ts", "vec").groupBy("sensor_id", "block_id").applyInPandas(one, "sensor_id string, block_id long, data binary")
+    return rows.select(*columns).groupBy("sensor_id", "block_id").applyInPandas(one, "sensor_id string, block_id long, data binary")
+
+
+def import_blocks(blocks: DataFrame, columns: Sequence[str] = ("ts", "vec"), skip_corrupt: bool = False) -> DataFrame:
+    """blocks(sensor_id, block_id, data) -> (sensor_id, block_id, pos, *columns), a row each.
+
+    columns are of ts, vec (dequantized where a block is INT8), q8, scale and payload; only those are taken out of a
+    block.  What a block does not have is null.  A corrupt block raises, or is left out.
+    """
+    types = {"ts": ("long", pa.int64()), "vec": ("array<float>", pa.list_(pa.float32())), "q8": ("array<tinyint>", pa.list_(pa.int8())), "scale": ("float", pa.float32()), "payload": ("binary", pa.binary())}
+    if bad := [c for c in columns if c not in types]:
+        raise ValueError(f"no such column: {bad[0]}")
+
+    def lists(m: np.ndarray, kind) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel(), kind))
+
+    def of(b: Block, column: str) -> pa.Array:
+        int8 = b.scales is not None
+        if column == "ts":
+            return pa.array(b.timestamps)
+        if column == "vec":
+            return lists(b.vectors.astype("f4") * b.scales[:, None] if int8 else b.vectors, pa.float32())
+        if column == "q8" and int8:
+            return lists(b.vectors, pa.int8())
+        if column == "scale" and int8:
+            return pa.array(b.scales)
+        if column == "payload" and b.payloads is not None:
+            return pa.array([x.tobytes() for x in b.payloads], pa.binary())
+        return pa.nulls(len(b.timestamps), types[column][1])
+
+    def run(batches):
+        for batch in batches:
+            for sensor, number, data in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    b = decode(data or b"")
+                except EngineError:
+                    if skip_corrupt:
+                        continue
+                    raise
+                n = len(b.timestamps)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([sensor] * n, pa.string()), pa.array([number] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), *[of(b, c) for c in columns]], ["sensor_id", "block_id", "pos", *columns]
+                )
+
+    return blocks.select("sensor_id", "block_id", "data").mapInArrow(run, "sensor_id string, block_id long, pos int" + "".join(f", {c} {types[c][0]}" for c in columns))

@@ -11,6 +11,7 @@ from abc import ABC, abstractmethod
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..errors import Code, EngineError
 
@@ -46,7 +47,7 @@ class Backend(ABC):
     def bytes_estimate(self) -> int:
         return 0
 
-    def rows(self) -> DataFrame | None:
+    def rows(self, skip_corrupt: bool = False) -> DataFrame | None:
         return None
 
     def next_block_ids(self) -> dict[str, int]:
@@ -90,57 +91,89 @@ class ParquetBackend(Backend):
 
     def write_blocks(self, rows: DataFrame) -> None:
         keys = ["sensor_id", "block_id"]
-        mode = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:
-            rows.repartition(*keys).sortWithinPartitions(*keys, "pos").write.mode("overwrite").partitionBy(*keys).parquet(f"{self.path}/blocks")
+            if not self._exists("schema.json"):
+                self._write("schema.json", StructType([f for f in rows.schema if f.name not in keys] + [StructField("sensor_id", StringType()), StructField("block_id", StringType())]).json())
+            rows.repartition(*keys).sortWithinPartitions(*keys, "pos").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{self.path}/blocks")
         except Exception as e:
             raise EngineError(Code.IO, str(e)[:300]) from e
-        finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
 
-    def rows(self) -> DataFrame | None:
+    def rows(self, skip_corrupt: bool = False) -> DataFrame | None:
+        """All blocks; with skip_corrupt those that cannot be read are left out."""
         if not self._exists("blocks") or self._fs.getContentSummary(self._p("blocks")).getFileCount() < 2:
             return None
         inferred = self.spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
         self.spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
         try:
-            return self.spark.read.parquet(f"{self.path}/blocks").withColumn("block_id", F.col("block_id").cast("long"))
+            reader = self.spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
+            if skip_corrupt:  # a broken footer must not decide the schema either
+                known = self._schema()
+                reader = reader.schema(known) if known is not None else reader
+            return reader.parquet(f"{self.path}/blocks").withColumn("block_id", F.col("block_id").cast("long"))
         finally:
             self.spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", inferred)
 
+    def _schema(self):
+        return StructType.fromJson(json.loads(self._text("schema.json"))) if self._exists("schema.json") else None
+
+    def _text(self, rel: str) -> str:
+        return self.spark.read.text(f"{self.path}/{rel}", wholetext=True).first()[0]
+
+    def put(self, rel: str, data: bytes) -> None:
+        """A file beside the blocks."""
+        out = self._fs.create(self._p(rel), True)
+        out.write(bytearray(data))
+        out.close()
+
+    def _write(self, rel: str, text: str) -> None:
+        self.put(rel, text.encode())
+
     def read_block(self, sensor_id: str, block_id: int) -> DataFrame:
-        rows = self.rows()
-        if rows is None or block_id not in self.list_blocks(sensor_id):
+        """Its rows in order; NOT_FOUND for no such block, CORRUPTION for one that cannot be read."""
+        rel = f"blocks/sensor_id={self._escaped(sensor_id)}/block_id={block_id}"
+        if not self._exists(rel):
             raise EngineError(Code.NOT_FOUND, f"{sensor_id}/{block_id}")
-        return rows.filter((F.col("sensor_id") == sensor_id) & (F.col("block_id") == block_id)).orderBy("pos")
+        try:
+            rows = self.rows().filter((F.col("sensor_id") == sensor_id) & (F.col("block_id") == block_id)).orderBy("pos")
+            rows.agg(*[F.count(c) for c in rows.columns]).collect()  # every column chunk is read once
+        except Exception as e:
+            raise EngineError(Code.CORRUPTION, f"{sensor_id}/{block_id}") from e
+        return rows
+
+    def _folders(self, rel: str, key: str) -> list[str]:
+        """Values of a partition column, from folder names alone."""
+        if not self._exists(rel):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._p(rel)) if x.isDirectory()]
+        return sorted(self._jvm_paths.unescapePathName(n.split("=", 1)[1]) for n in names if n.startswith(f"{key}="))
+
+    @property
+    def _jvm_paths(self):
+        return self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+
+    def _escaped(self, sensor_id: str) -> str:
+        return self._jvm_paths.escapePathName(sensor_id)
 
     def list_blocks(self, sensor_id: str) -> list[int]:
-        rows = self.rows()
-        return [] if rows is None else [r.block_id for r in rows.filter(F.col("sensor_id") == sensor_id).select("block_id").distinct().orderBy("block_id").collect()]
+        return sorted(map(int, self._folders(f"blocks/sensor_id={self._escaped(sensor_id)}", "block_id")))
 
     def list_sensors(self) -> list[str]:
-        rows = self.rows()
-        return [] if rows is None else [r.sensor_id for r in rows.select("sensor_id").distinct().orderBy("sensor_id").collect()]
+        return self._folders("blocks", "sensor_id")
 
     def next_block_ids(self) -> dict[str, int]:
-        rows = self.rows()
-        return {} if rows is None else {r.sensor_id: r.n for r in rows.groupBy("sensor_id").agg((F.max("block_id") + 1).alias("n")).collect()}
+        return {s: max(self.list_blocks(s), default=-1) + 1 for s in self.list_sensors()}
 
     def delete_sensor(self, sensor_id: str) -> None:
-        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        self._fs.delete(self._p(f"blocks/sensor_id={escape(sensor_id)}"), True)
+        self._fs.delete(self._p(f"blocks/sensor_id={self._escaped(sensor_id)}"), True)
 
     def write_metadata(self, data: dict) -> None:
-        out = self._fs.create(self._p("engine.json"), True)
-        out.write(bytearray(json.dumps(data, sort_keys=True).encode()))
-        out.close()
+        self._write("engine.json", json.dumps(data, sort_keys=True))
 
     def read_metadata(self) -> dict | None:
         if not self._exists("engine.json"):
             return None
         try:
-            return json.loads(self.spark.read.text(f"{self.path}/engine.json", wholetext=True).first()[0])
+            return json.loads(self._text("engine.json"))
         except (ValueError, TypeError) as e:
             raise EngineError(Code.CORRUPTION, "metadata") from e
 

@@ -10,9 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.cold import Backend
+
 OUTPUT = "sensor_id string, seq long, ts long, vec array<float>, event string, hot_rows long, lost_rows long"
 
 
@@ -60,16 +63,27 @@ def ring(stream: DataFrame, capacity: int, window_ms: int) -> DataFrame:
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_over_files(spark, path: str, schema: str, capacity: int, window_ms: int, checkpoint: str, out: str, files_per_batch: int = 1):
+def to_backend(df: DataFrame, batch: int, backend: Backend) -> None:
+    """What a micro-batch evicted, as a block per sensor whose id is the batch: tried again, it replaces itself."""
+    pos = (F.row_number().over(Window.partitionBy("sensor_id").orderBy("seq")) - 1).alias("pos")
+    backend.write_blocks(df.filter("event = 'evicted'").select("sensor_id", F.lit(batch).cast("long").alias("block_id"), pos, "seq", "ts", "vec"))
+
+
+def run_over_files(spark, path: str, schema: str, capacity: int, window_ms: int, checkpoint: str, out: str, files_per_batch: int = 1, backend: Backend | None = None):
     """Reads the Parquet files of path as micro-batches until they end, and writes the output to out, a folder per batch.
 
-    A batch that is tried again overwrites its own folder, so the cold side sees each eviction once.
+    A batch that is tried again overwrites its own folder, and its own blocks in backend, so the cold side sees each
+    eviction once.  Files are taken in order of their time.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
     def put(df: DataFrame, batch: int) -> None:
+        df.persist()
+        if backend is not None:
+            to_backend(df, batch, backend)
         df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        df.unpersist()
 
     query = ring(stream, capacity, window_ms).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
