@@ -62,8 +62,12 @@ def test_batch_agrees_with_each(spark, metric):
     rng = np.random.default_rng(4)
     rows = spark.createDataFrame([(f"s{i % 3}", i, i, x.tolist()) for i, x in enumerate(rng.normal(size=(200, 8)).astype("float32"))] + [("s0", 500, 0, [0.0] * 8)], ROW)
     asked = spark.createDataFrame([(i, f"s{i % 4}", x.tolist()) for i, x in enumerate(rng.normal(size=(9, 8)).astype("float32"))], "qid long, sensor_id string, target array<float>")
-    a, b = ({(r.qid, r.rank): (r.seq, round(r.score, 5)) for r in f(rows, asked, 5, metric).collect()} for f in (search.nearest_each, search.nearest_batch))
-    assert a == b and len(a) == 7 * 5
+    tied = rows.unionByName(rows.selectExpr("sensor_id", "seq + 1000 AS seq", "ts", "vec")).repartition(3)
+    for dtype in Dtype:
+        kept = entries(tied, Config(8, dtype=dtype))
+        kept = kept if dtype == Dtype.INT8 else kept.drop("norm")
+        a, b = ({(r.qid, r.rank): (r.seq, round(r.score, 5)) for r in f(kept, asked, 5, metric).collect()} for f in (search.nearest_each, search.nearest_batch))
+        assert a == b and len(a) == 7 * 5
 
 
 def test_ingest_rejects(spark):

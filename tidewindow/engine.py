@@ -235,16 +235,14 @@ class Engine:
         """rows(sensor_id, seq, ts, vec[, payload]) of any size; seq orders them, numbers are given anew."""
         self._open()
         self._settle()
-        order = Window.partitionBy("sensor_id").orderBy("seq")
-        raw = rows.withColumn("seq", F.row_number().over(order).cast("long") - 1)
-        new = self._scratch.save(to_entries(raw, self.config), "batch")
-        counts = {r.sensor_id: r["count"] for r in new.groupBy("sensor_id").count().collect()}
+        counts = {r.sensor_id: r["count"] for r in rows.groupBy("sensor_id").count().collect()}
         fresh = [s for s in counts if s not in self.sensors]
         if self.config.max_sensors and len(self.sensors) + len(fresh) > self.config.max_sensors:
             raise EngineError(Code.CAPACITY, "max_sensors")
-        heads = self.spark.createDataFrame([(s, self.sensors[s].head if s in self.sensors else 0) for s in counts] or [], "sensor_id string, __head long")
-        self._extend(new.join(heads, "sensor_id").withColumn("seq", F.col("seq") + F.col("__head")).drop("__head"))
-        self._scratch.drop(new)
+        heads = self.spark.createDataFrame([(s, self.sensors[s].head if s in self.sensors else 0) for s in counts], "sensor_id string, __head long")
+        order = Window.partitionBy("sensor_id").orderBy("seq")
+        numbered = rows.withColumn("seq", F.row_number().over(order).cast("long") - 1).join(heads, "sensor_id", "left")
+        self._extend(to_entries(numbered.withColumn("seq", F.col("seq") + F.coalesce("__head", F.lit(0))).drop("__head"), self.config))
         for s, n in counts.items():
             self._advance(s, self._register(s), n)
             self.sink.on_append(s, 0)
@@ -338,9 +336,9 @@ class Engine:
         self._fresh = False
         hot = self._hot()
         mx = Window.partitionBy("sensor_id")
-        cut = F.max("seq").over(mx) + 1 if window_ms == 0 else F.min(F.when(F.col("ts") >= F.col("__max") - window_ms, F.col("seq"))).over(mx)
-        marked = hot.withColumn("__max", F.max("ts").over(mx)).withColumn("__first", cut)
-        gone = self._scratch.save(marked.filter(F.col("seq") < F.col("__first")).drop("__max"), "evicted")
+        cut = F.max("seq") + 1 if window_ms == 0 else F.min(F.when(F.col("ts") >= F.col("__max") - window_ms, F.col("seq")))
+        first = hot.select("sensor_id", "seq", "ts").withColumn("__max", F.max("ts").over(mx)).groupBy("sensor_id").agg(cut.alias("__first"))  # vectors stay where they are
+        gone = self._scratch.save(hot.join(first, "sensor_id").filter(F.col("seq") < F.col("__first")), "evicted")
         per = gone.groupBy("sensor_id").agg(F.count("*").alias("n"), F.max("__first").alias("first")).collect()
         if not per:
             self._scratch.drop(gone)

@@ -15,8 +15,8 @@ from ..functions.vectors import literal
 
 #: Decimals at which scores are compared; ties go to the earlier arrival.
 DECIMALS = 6
-#: Queries of a batch that are broadcast together.
-BATCH = 4096
+#: Bytes of queries that are broadcast together, and in all; cells of a matrix of scores.
+BATCH, MOST, CELLS = 16 << 20, 256 << 20, 1 << 21
 
 
 def score(rows: DataFrame, target: Column, metric: Metric) -> Column:
@@ -53,14 +53,21 @@ def nearest_each(hot: DataFrame, queries: DataFrame, n: int, metric: Metric = Me
 
 
 def nearest_batch(hot: DataFrame, queries: DataFrame, n: int, metric: Metric = Metric.COSINE) -> DataFrame:
-    """As nearest_each, by matrix products over Arrow batches.
+    """As nearest_each, by matrix products over Arrow batches, for float and for INT8 rows.
 
-    Queries are broadcast BATCH at a time (read once per batch); each Arrow batch keeps its n best of a query, so
-    at most n rows per query and batch are shuffled.
+    Queries are broadcast BATCH bytes at a time, MOST bytes in all; more of them are joined instead.  A task keeps the
+    n best of each query over all its rows, so at most n rows per query and task are shuffled.
     """
-    spark = hot.sparkSession
-    wanted = queries.select("qid", "sensor_id", "target").toArrow()
-    parts = [_batch(spark, hot, wanted.slice(i, BATCH), n, metric) for i in range(0, max(1, wanted.num_rows), BATCH)]
+    asked = queries.select("qid", "sensor_id", "target")
+    size = asked.agg(F.sum(F.size("target") * 8 + F.octet_length("sensor_id") + 16)).first()[0] or 0
+    if size > MOST:
+        return nearest_each(hot, queries, n, metric)
+    int8 = "vec" not in hot.columns
+    if int8:
+        asked = asked.select("qid", "sensor_id", "target", quantize(F.col("target")).alias("q")).select("qid", "sensor_id", F.col("q.q8").alias("target"), F.col("q.scale").alias("scale"), norm(F.col("target")).cast("float").alias("norm"))
+    wanted = asked.toArrow()
+    step = max(1, wanted.num_rows * BATCH // max(1, size))
+    parts = [_batch(hot.sparkSession, hot, wanted.slice(i, step), n, metric, int8) for i in range(0, max(1, wanted.num_rows), step)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -73,42 +80,89 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _batch(spark, hot: DataFrame, wanted: pa.Table, n: int, metric: Metric) -> DataFrame:
-    targets = _matrix(wanted.column("target").combine_chunks())
-    qid, sensors = wanted.column("qid").to_numpy(), wanted.column("sensor_id").to_pylist()
+class _Side:
+    """Vectors of one side: as they are, or INT8 codes with what scales their products (scale, and norm as given)."""
+
+    def __init__(self, matrix: np.ndarray, scale: np.ndarray | None, norms: np.ndarray | None):
+        self.matrix = matrix
+        self.scale = np.ones(len(matrix)) if scale is None else scale.astype(np.float64)
+        self.norms = np.sqrt((matrix * matrix).sum(1)) if norms is None else norms.astype(np.float64)
+
+    def take(self, at) -> _Side:
+        return _Side(self.matrix[at], self.scale[at], self.norms[at])
+
+
+def _keys(q: _Side, x: _Side, metric: Metric) -> np.ndarray:
+    """Smaller is nearer: minus the cosine, or the squared distance."""
+    dots = q.matrix @ x.matrix.T
+    if metric == Metric.COSINE:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left, right = (np.where((s.norms > 0) & (s.scale > 0), s.scale / s.norms, 0) for s in (q, x))
+        dots *= -left[:, None]
+        dots *= right
+        return dots
+    dots *= -2 * q.scale[:, None]
+    dots *= x.scale
+    dots += (q.norms * q.norms)[:, None]
+    dots += x.norms * x.norms
+    return np.maximum(dots, 0, out=dots)
+
+
+def _best(keys: np.ndarray, ts: np.ndarray, seq: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """The n best columns of each row, rounded, ties to the earlier seq; missing ones have an infinite key."""
+    rows = len(keys)
+    if keys.shape[1] > n:  # whatever may tie with the n-th after rounding stays in
+        worst = np.partition(keys, n - 1, axis=1)[:, n - 1]
+        r, c = np.nonzero(keys <= worst[:, None] + 2 * 10.0**-DECIMALS)
+    else:
+        r, c = (a.ravel() for a in np.indices(keys.shape))
+    key = np.round(keys[r, c], DECIMALS)
+    order = np.lexsort((seq[c], key, r))
+    r, c, key = r[order], c[order], key[order]
+    place = np.arange(len(r)) - np.searchsorted(r, np.arange(rows))[r]
+    ok = place < n
+    out = np.full((rows, n), np.inf), np.zeros((rows, n), np.int64), np.zeros((rows, n), np.int64)
+    for a, v in zip(out, (key, ts[c], seq[c])):
+        a[r[ok], place[ok]] = v[ok]
+    return out
+
+
+def _batch(spark, hot: DataFrame, wanted: pa.Table, n: int, metric: Metric, int8: bool) -> DataFrame:
+    column = lambda name: wanted.column(name).to_numpy() if int8 else None
+    side = _Side(_matrix(wanted.column("target").combine_chunks()), column("scale"), column("norm"))
     of: dict[str, list[int]] = {}
-    for i, s in enumerate(sensors):
+    for i, s in enumerate(wanted.column("sensor_id").to_pylist()):
         of.setdefault(s, []).append(i)
-    shared = spark.sparkContext.broadcast((targets, qid, {s: np.array(i) for s, i in of.items()}))
+    shared = spark.sparkContext.broadcast((side, wanted.column("qid").to_numpy(), {s: np.array(i) for s, i in of.items()}))
 
     def run(batches):
-        t, ids, by = shared.value
+        targets, ids, by = shared.value
+        best: dict[str, tuple[np.ndarray, ...]] = {}
+        asked: dict[str, _Side] = {}
         for b in batches:
-            names, ts, seq, v = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3))
-            codes = names.dictionary_encode()
-            out: list[tuple] = []
+            codes = b.column(0).dictionary_encode()
+            number, ts, seq = codes.indices.to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            rows = _Side(_matrix(b.column(3)), b.column(4).to_numpy() if int8 else None, b.column(5).to_numpy() if int8 else None)
             for code, sensor in enumerate(codes.dictionary.to_pylist()):
                 if sensor not in by:
                     continue
-                at = np.flatnonzero(codes.indices.to_numpy() == code)
-                q = t[by[sensor]]
-                x = v[at]
-                if metric == Metric.COSINE:
-                    scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                    s = np.divide(q @ x.T, scale, out=np.zeros_like(scale), where=scale > 0)
-                    key = -np.round(s, DECIMALS)
-                else:
-                    s = np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T))
-                    key = np.round(s, DECIMALS)
-                order = np.lexsort((np.broadcast_to(seq[at], key.shape), key), axis=1)[:, :n]
-                pick = np.take_along_axis(key, order, 1)
-                rows = at[order]
-                out.append((np.repeat(ids[by[sensor]], order.shape[1]), np.repeat(sensor, order.size), ts[rows].ravel(), seq[rows].ravel(), np.abs(pick).ravel() if metric != Metric.COSINE else -pick.ravel()))
-            if out:
-                c = [np.concatenate(x) for x in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1].tolist()), pa.array(c[2]), pa.array(c[3]), pa.array(c[4] + 0.0)], ["qid", "sensor_id", "ts", "seq", "score"])
-
-    return hot.select("sensor_id", "ts", "seq", "vec").mapInArrow(run, "qid long, sensor_id string, ts long, seq long, score double")
+                at = np.flatnonzero(number == code)
+                q, x = asked.setdefault(sensor, targets.take(by[sensor])), rows.take(at) if len(at) < len(number) else rows
+                step = max(1, CELLS // max(1, len(at)))
+                found = [_best(_keys(q.take(slice(i, i + step)), x, metric), ts[at], seq[at], n) for i in range(0, len(q.norms), step)]
+                new = tuple(np.concatenate(c) for c in zip(*found))
+                if sensor in best:
+                    both = [np.concatenate(c, axis=1) for c in zip(best[sensor], new)]
+                    order = np.lexsort((both[2], both[0]), axis=1)[:, :n]
+                    new = tuple(np.take_along_axis(c, order, 1) for c in both)
+                best[sensor] = new
+        for sensor, (key, ts, seq) in best.items():
+            r, c = np.nonzero(np.isfinite(key))
+            score = (-key if metric == Metric.COSINE else key)[r, c] + 0.0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[by[sensor]][r]), pa.array([sensor] * len(r), pa.string()), pa.array(ts[r, c]), pa.array(seq[r, c]), pa.array(score)], ["qid", "sensor_id", "ts", "seq", "score"])
+
+    columns = ["q8", "scale", "norm"] if int8 else ["vec"]
+    return hot.select("sensor_id", "ts", "seq", *columns).mapInArrow(run, "qid long, sensor_id string, ts long, seq long, score double")
 
 
 def in_range(hot: DataFrame, sensor_id: str, t_start: int, t_end: int, limit: int) -> DataFrame:

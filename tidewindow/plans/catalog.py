@@ -131,12 +131,14 @@ I8SQ = f"round(greatest(0, a.norm::DOUBLE * a.norm::DOUBLE + b.norm::DOUBLE * b.
 
 @query(I8 + _I8.format(score=I8COS, way="DESC"))
 def knn_int8_cosine(spark, sf):
-    return search.nearest_each(embeddings(spark, sf, Dtype.INT8), _probes(spark, sf), TOP)
+    ship(spark)
+    return search.nearest_batch(embeddings(spark, sf, Dtype.INT8), _probes(spark, sf), TOP)
 
 
 @query(I8 + _I8.format(score=I8SQ, way=""))
 def knn_int8_euclidean_sq(spark, sf):
-    return search.nearest_each(embeddings(spark, sf, Dtype.INT8), _probes(spark, sf), TOP, EUCLIDEAN)
+    ship(spark)
+    return search.nearest_batch(embeddings(spark, sf, Dtype.INT8), _probes(spark, sf), TOP, EUCLIDEAN)
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,9 +32,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local master, as in tests, gets one of
+    our own where that is unset; elsewhere no machine's own folder would do."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidewindow.scratch", None)
     if not base:
+        if not re.match(r"local(\[[^-]|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewindow-scratch-")
         spark.conf.set("tidewindow.scratch", base)
     return base.rstrip("/")
