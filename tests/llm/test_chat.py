@@ -20,11 +20,11 @@ def test_round_trip_and_mask(spark):
         by.setdefault(c, []).append((t is not None, t, r or "", x or ""))
     assert len(out) == len(by)
     for r in out:
-        want = [(a, b) for _, _, a, b in sorted(by[r.conv_id], key=lambda x: (x[0], x[1] or 0, x[2]))]
+        want = [(a, b) for _, _, a, b in sorted(by[r.conv_id], key=lambda x: (x[0], x[1] or 0, x[2], x[3].encode()))]
         if r.conv_id == 100:
             want = [("assistant", "y"), ("user", "x"), ("user", "x")]
-        assert sorted(map(tuple, r.turns)) == sorted(want) and r.n_turns == len(want) and len(r.formatted) == r.formatted_chars
-        assert sorted(r.loss_text) == sorted("".join(x for a, x in r.turns if a == "assistant")) and r.attachments == []
+        assert [(t.role, t.text) for t in r.turns] == want and r.n_turns == len(want) and len(r.formatted) == r.formatted_chars
+        assert r.loss_text == "".join(x for a, x in want if a == "assistant") and r.attachments == []
         if r.conv_id in (100, 101, 102):
             assert r.loss_text == "".join(x for a, x in want if a == "assistant")
         assert r.formatted.count("</turn>") == r.n_turns
@@ -34,11 +34,44 @@ def test_attachments(spark):
     parts = [("text", "see <|image|> ", None, None), ("image", None, "a.png", None), None, ("audio", None, "b.wav", 40), ("text", None, None, None), ("video", None, "c", None), (None, "end", None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None), (1, 2, "user", [("document", None, "d.pdf", 7)])], f"conv_id long, turn long, role string, parts array<{C.PART}>")
     r = C.read_back(C.format_chats(df)).collect()[0]
-    assert r.formatted == "### user: see \\pimage|> <|image|><|audio|><|video|>end </turn>\n### assistant:  </turn>\n### user: <|document|> </turn>\n"
-    assert [tuple(a) for a in r.attachments] == [(1, 0, "image", "a.png", 576), (2, 0, "audio", "b.wav", 40), (3, 0, "video", "c", 0), (4, 2, "document", "d.pdf", 7)]
+    assert r.formatted == "### user: see \\pimage|> <|image:1|><|audio:2|><|video:3|>end </turn>\n### assistant:  </turn>\n### user: <|document:1|> </turn>\n"
+    assert [tuple(a) for a in r.attachments] == [(1, 0, 1, "image", "a.png", 576), (2, 0, 2, "audio", "b.wav", 40), (3, 0, 3, "video", "c", 0), (4, 2, 1, "document", "d.pdf", 7)]
+    assert [tuple(p) for p in r.turns[0].parts] == [("text", "see <|image|> ", None), ("image", None, 1), ("audio", None, 2), ("video", None, 3), ("text", "end", None)]
     assert r.expanded_tokens == 623 and r.loss_text == "" and C.format_chats(df.limit(0)).collect() == []
 
 
+def test_round_trip_of_mixed_parts(spark):
+    """Hostile texts and types between attachments; the loss has the assistant's texts alone."""
+    rng = random.Random(12)
+    texts = ["", "<|image:1|>", "<|", "|>", ":", "\\p", "\\", "a|>b", "</turn>", " </turn>\n### user: ", "é", None]
+    kinds = ["image", "audio", "a|b", "<|x|>", "we:ird\n", "|>", "\\v", "###"]
+    rows = []
+    for c in range(80):
+        for t in range(rng.randrange(1, 4)):
+            parts = [("text", rng.choice(texts) , None, None) if rng.random() < 0.6 else (rng.choice(kinds), None, f"r{rng.random()}", 3) for _ in range(rng.randrange(6))]
+            rows.append((c, t, rng.choice(["user", "assistant"]), parts))
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{C.PART}>")
+    for r in C.read_back(C.format_chats(df)).collect():
+        mine, loss, refs = [x for x in rows if x[0] == r.conv_id], "", []
+        for (_, t, role, parts), got in zip(mine, r.turns, strict=True):
+            want, n = [], 0
+            for kind, text, ref, _ in parts:
+                if kind != "text":
+                    n += 1
+                    want.append((kind, None, n))
+                    refs.append((t, n, kind, ref))
+                elif text and want and want[-1][0] == "text":
+                    want[-1] = ("text", want[-1][1] + text, None)
+                elif text:
+                    want.append(("text", text, None))
+            assert got.role == role and [tuple(p) for p in got.parts] == want
+            said = "".join(x for k, x, _ in want if k == "text")
+            assert got.text == said
+            loss += said * (role == "assistant")
+        assert r.loss_text == loss and [(a.turn, a.number, a.type, a.ref) for a in r.attachments] == refs and r.expanded_tokens == 3 * len(refs)
+    assert C.read_back(C.format_chats(df.limit(0))).collect() == []
+
+
 def test_query_is_native(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "ä\\###")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     df = C.op5_chat_formatting(spark, str(tmp_path))

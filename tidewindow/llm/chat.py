@@ -1,11 +1,13 @@
 r"""Chat formatting with typed content parts, in DataFrame functions only.
 
 A turn's content is a list of typed parts.  A visitor walks them in order: text is escaped and written, every
-attachment (image, audio, document, or any other type) becomes a numbered placeholder and is recorded with its
-turn, reference and expanded token count.  A turn reads ``### role: body </turn>`` and a line end.
+attachment (image, audio, document, or any other type) becomes a placeholder ``<|type:n|>``, n counting the turn's
+attachments from 1, and is recorded with its turn, reference and expanded token count.  A turn reads
+``### role: body </turn>`` and a line end.
 
 Escapes: ``\`` is written ``\b``, then ``###`` ``\h``, ``</turn>`` ``\t`` and ``<|`` ``\p``; in roles also ``:`` ``\c``
-and line ends ``\n``.  Every backslash of the output thus starts a two-character code that no other rule touches, so
+and line ends ``\n``, in types besides ``|`` ``\v``.  A text thus never holds ``<|`` as it is, so placeholders cannot be
+mistaken, and read_back gives back the parts: types, numbers and texts.  Every backslash of the output thus starts a two-character code that no other rule touches, so
 undoing the rules one by one, ``\b`` last, gives back any text.
 """
 
@@ -21,6 +23,7 @@ from ..runtime import settings
 HEAD, END = "### ", " </turn>\n"
 CODES = [("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t"), ("<|", "\\p")]
 ROLE_CODES = CODES + [(":", "\\c"), ("\n", "\\n")]
+TYPE_CODES = ROLE_CODES + [("|", "\\v")]
 #: Tokens that an attachment without a count of its own expands to.
 TOKENS = {"image": 576, "audio": 750, "document": 1024}
 PART = "struct<type: string, text: string, ref: string, tokens: int>"
@@ -43,48 +46,71 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
     """turns(conv_id, turn, role, parts array<PART>) -> a row for each conv_id:
 
     formatted; spans, for each turn (start, body, length, trained): where in formatted it begins, where its
-    body does, how long that is, and whether the loss counts it; attachments, in order, as (ordinal, turn, type,
-    ref, tokens); expanded_tokens, their sum; n_turns and formatted_chars.
+    body does, how long that is, and whether the loss counts it; attachments, in order, as (ordinal, turn, number, type,
+    ref, tokens), number as in the placeholder; expanded_tokens, their sum; n_turns and formatted_chars.
 
-    Turns come in order of turn, then role and content (repeated rows stay).  Null roles, parts and texts are
+    Turns come in order of turn, then role, text and attachments (repeated rows stay).  Null roles, parts and texts are
     empty; a null conv_id is a conversation too.  An empty table gives an empty result.
     """
     parts = F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     kind = lambda p: F.coalesce(p["type"], F.lit("text"))
-    mark = lambda p: F.when(kind(p) == "text", _put(F.coalesce(p["text"], F.lit("")), CODES)).otherwise(F.concat(F.lit("<|"), _put(kind(p), ROLE_CODES), F.lit("|>")))
+    said = lambda p: F.coalesce(p["text"], F.lit(""))
+    mark = lambda p: F.when(kind(p["part"]) == "text", _put(said(p["part"]), CODES)).otherwise(F.concat(F.lit("<|"), _put(kind(p["part"]), TYPE_CODES), F.lit(":"), p["number"].cast("string"), F.lit("|>")))
+    # parts with the number of attachments up to each; turns without any, nearly all, need no running count
+    count = lambda ps, i: F.size(F.filter(F.slice(ps, 1, i + 1), lambda p: kind(p) != "text"))
+    plain_parts = F.transform(parts, lambda p: F.struct(p.alias("part"), F.lit(0).alias("number")))
+    numbered = F.when(F.exists(parts, lambda p: kind(p) != "text"), F.transform(parts, lambda p, i: F.struct(p.alias("part"), count(parts, i).alias("number")))).otherwise(plain_parts)
+    plain = F.array_join(F.transform(F.filter(parts, lambda p: kind(p) == "text"), said), "")
     default = F.create_map(*[F.lit(x) for pair in TOKENS.items() for x in pair])
     attached = lambda p: F.struct(kind(p).alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.try_element_at(default, kind(p)), F.lit(0)).alias("tokens"))
     role = F.coalesce("role", F.lit(""))
     one = turns.select(
-        "conv_id", "turn", role.alias("role"), F.array_join(F.transform(parts, mark), "").alias("body"), F.transform(F.filter(parts, lambda p: kind(p) != "text"), attached).alias("attached")
+        "conv_id", "turn", role.alias("role"), plain.alias("plain"), F.array_join(F.transform(numbered, mark), "").alias("body"), F.transform(F.filter(parts, lambda p: kind(p) != "text"), attached).alias("attached")
     )
     one = one.withColumn("head", F.concat(F.lit(HEAD), _put(F.col("role"), ROLE_CODES), F.lit(": ")))
-    turn = F.struct("turn", "role", "body", "attached", F.concat("head", "body", F.lit(END)).alias("block"), F.length("head").alias("head_chars"), F.length("body").alias("body_chars"))
+    turn = F.struct("turn", "role", "plain", "attached", "body", F.concat("head", "body", F.lit(END)).alias("block"), F.length("head").alias("head_chars"), F.length("body").alias("body_chars"))
     all_turns = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     placed = all_turns.withColumn("formatted", F.array_join("turns.block", ""))
     span = lambda t: F.struct(t["head_chars"].alias("body"), t["body_chars"].alias("length"), (t["role"] == trained_role).alias("trained"), F.length(t["block"]).alias("chars"))
-    refs = F.flatten(F.transform("turns", lambda t: F.transform(t["attached"], lambda a: F.struct(t["turn"].alias("turn"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
+    refs = F.flatten(F.transform("turns", lambda t: F.transform(t["attached"], lambda a, i: F.struct(t["turn"].alias("turn"), (i + 1).alias("number"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     return placed.select(
         "conv_id", "formatted", F.transform("turns", span).alias("spans"),
-        F.transform(refs, lambda a, i: F.struct((i + 1).alias("ordinal"), a["turn"].alias("turn"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))).alias("attachments"),
+        F.transform(refs, lambda a, i: F.struct((i + 1).alias("ordinal"), a["turn"].alias("turn"), a["number"].alias("number"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))).alias("attachments"),
         F.aggregate(refs, F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("expanded_tokens"),
         F.size("turns").cast("long").alias("n_turns"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
+def _parts(body: Column) -> Column:
+    """array<struct<type, text, number>> of a body: text parts (neighbours are one, empty ones none) and placeholders."""
+    none = F.array().cast("array<struct<type: string, text: string, number: int>>")
+    text = lambda x: F.when(x == "", none).otherwise(F.array(F.struct(F.lit("text").alias("type"), _undo(x, CODES).alias("text"), F.lit(None).cast("int").alias("number"))))
+    head = lambda p: F.substring_index(p, "|>", 1)
+    mark = lambda p: F.struct(
+        _undo(F.substring_index(head(p), ":", 1), TYPE_CODES).alias("type"), F.lit(None).cast("string").alias("text"), F.substring_index(head(p), ":", -1).cast("int").alias("number")
+    )
+    rest = lambda p: F.substr(p, F.length(head(p)) + 3)
+    return F.flatten(F.transform(F.split(body, r"<\|"), lambda p, i: F.when(i == 0, text(p)).otherwise(F.concat(F.array(mark(p)), text(rest(p))))))
+
+
+def _said(body: Column) -> Column:
+    """The texts of a body without its placeholders."""
+    whole = _undo(body, CODES)
+    return F.when(~F.contains(body, F.lit("<|")), whole).otherwise(F.array_join(F.transform(F.filter(_parts(body), lambda p: p["type"] == "text"), lambda p: p["text"]), ""))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parses formatted again: adds turns (role, text) and loss_text, the unescaped text under the loss mask.
+    """Parses formatted again: adds turns (role, text, parts) and loss_text, the unescaped text under the loss mask.
 
-    A span is relative to its turn's block, so each block is cut once; placeholders stay in the text as written.
+    parts are (type, text, number); text and loss_text hold the text parts alone, no placeholder.  A span is relative to
+    its turn's block, so each block is cut once.  An empty table gives an empty result.
     """
     blocks = F.split("formatted", r"(?<=\Q </turn>\E\n)")
     real = F.filter(blocks, lambda b: b != "")
     role = lambda b: F.substring_index(b, ": ", 1)
-    parsed = lambda b: F.struct(
-        _undo(F.substr(role(b), F.lit(len(HEAD) + 1)), ROLE_CODES).alias("role"),
-        _undo(F.substr(b, F.length(role(b)) + 3, F.length(b) - F.length(role(b)) - 2 - len(END)), CODES).alias("text"),
-    )
-    masked = F.zip_with("blocks", "spans", lambda b, s: F.when(s["trained"], _undo(F.substr(b, s["body"] + 1, s["length"]), CODES)).otherwise(F.lit("")))
+    body = lambda b: F.substr(b, F.length(role(b)) + 3, F.length(b) - F.length(role(b)) - 2 - len(END))
+    parsed = lambda b: F.struct(_undo(F.substr(role(b), F.lit(len(HEAD) + 1)), ROLE_CODES).alias("role"), _said(body(b)).alias("text"), _parts(body(b)).alias("parts"))
+    masked = F.zip_with("blocks", "spans", lambda b, s: F.when(s["trained"], _said(F.substr(b, s["body"] + 1, s["length"]))).otherwise(F.lit("")))
     return formatted.withColumn("blocks", real).withColumn("turns", F.transform("blocks", parsed)).withColumn("loss_text", F.array_join(masked, "")).drop("blocks")
 
 
