@@ -45,18 +45,35 @@ def test_round_trip(spark, frame, broadcast):
     for r in got:
         p = back[bytes(r.object)]
         assert r.payload_bytes == len(p) and r.payload_sha256 == hashlib.sha256(p).hexdigest() and r.tail_crc32 == zlib.crc32(p[-16:]) and r.media_bytes > len(p)
-    chunks = M._pieces(p, M.cuts([p])[0])
-    assert M.stored_form(b"".join(map(M._digest, chunks)), list(map(len, chunks)), chunks).endswith(p)
+    # the stored form, put together from the stored columns alone
+    rows = store.table.collect()
+    shared = {bytes(r.digest): bytes(r.bytes) for r in rows if r.digest is not None}
+    form = {}
+    for r in (r for r in rows if r.object is not None):
+        data, at, own = bytes(r.manifest), 16, 0
+        for kind in r.kinds:
+            n, digest = int.from_bytes(r.manifest[at : at + 4], "little"), bytes(r.manifest[at + 4 : at + 20])
+            data += bytes(r.bytes[own : own + n]) if kind == M.PRIVATE else shared[digest]
+            own, at = own + (n if kind == M.PRIVATE else 0), at + 20
+        form[bytes(r.object)] = (len(data), hashlib.sha256(data).hexdigest())
+    assert {bytes(r.object): (r.media_bytes, r.media_sha256) for r in got} == form
+    x = np.frombuffer(p, dtype=np.uint8).astype(float)
+    assert f"step={np.abs(np.diff(x)).mean():.6f}" in {bytes(g.object): g.feature for g in got}[M._digest(p)]
     assert store.table.filter("digest IS NOT NULL").count() == store.table.filter("digest IS NOT NULL").select("digest").distinct().count() > 0
 
 
 def test_damage_is_found_and_empty(spark, frame):
     d = M._digest(b"abc")
-    assert M.assemble(d, [3], b"\0", b"abc", {}) == [b"abc"]
+    assert M.assemble([d], [3], b"\0", b"abc", {}) == [b"abc"]
     with pytest.raises(ValueError):
-        M.assemble(d, [3], b"\0", b"abd", {})
+        M.assemble([d], [3], b"\0", b"abd", {})
     with pytest.raises(ValueError):
-        M.assemble(d, [3], b"\2", b"", {0: b"xyz"})
+        M.assemble([d], [3], b"\2", b"", {0: b"xyz"})
+    whole = M.manifest([3], [d])
+    assert M.read_manifest(whole) == ([3], [d])
+    for bad in (b"", whole[:-1], b"X" + whole[1:], whole[:4] + b"\1" + whole[5:]):
+        with pytest.raises(ValueError):
+            M.read_manifest(bad)
     store = M.ChunkStore(frame([]), Scratch(spark, "t"))
     assert store.features().collect() == [] and store.of_docs.collect() == []
 

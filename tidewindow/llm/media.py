@@ -4,11 +4,12 @@ A payload is cut where a gear hash of its last 32 bytes has CUT_BITS leading zer
 bytes apart.  A manifest lists the digests and lengths of its chunks.  Payloads that are equal share a manifest;
 chunks that occur more than once, in several payloads or within one, are found by joins of digests alone, and each is stored once:
 
-* an object row for each distinct payload: its manifest, and the bytes of the chunks that occur nowhere else;
+* an object row for each distinct payload: its manifest (the bytes ``CDC1``, payload length, number of chunks, and
+  length and digest of each), and the bytes of the chunks that occur nowhere else;
 * a chunk row for each shared chunk.
 
-Reading joins shared chunks back by digest, puts every chunk in the manifest's order, and checks each digest.
-A stored object in itself is ``CDC1``, payload length, number of chunks, (length, digest) of each, then the chunks.
+Reading joins shared chunks back by digest, puts every chunk in the manifest's order, and checks each digest.  The
+stored form of a payload is what is stored for it: the bytes of its manifest, then of its chunks in order.
 
 Bytes move between executors only for shared chunks.  To tell writers which chunks those are, the small table of
 marks is broadcast while it measures under BROADCAST bytes, and joined by shuffle beyond.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, settings
-from .words import raw_text
+from .words import raw_text, release
 
 UNIT, CUT_BITS, LEAST, MOST, DIGEST = 192, 10, 256, 4096, 16
 BROADCAST = 64 << 20
@@ -107,13 +108,28 @@ def _manifests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-STORE = "object binary, digests binary, lengths array<int>, kinds binary, digest binary, bytes binary"
+STORE = "object binary, manifest binary, kinds binary, digest binary, bytes binary"
+ENTRY = struct.Struct(f"<I{DIGEST}s")
+
+
+def manifest(lengths: list[int], digests: list[bytes]) -> bytes:
+    return b"CDC1" + struct.pack("<QI", sum(lengths), len(lengths)) + b"".join(map(ENTRY.pack, lengths, digests))
+
+
+def read_manifest(data: bytes) -> tuple[list[int], list[bytes]]:
+    """Lengths and digests; ValueError for bytes that are no manifest."""
+    if data[:4] != b"CDC1" or len(data) < 16 or len(data) != 16 + ENTRY.size * struct.unpack_from("<I", data, 12)[0]:
+        raise ValueError("not a manifest")
+    entries = list(ENTRY.iter_unpack(data[16:]))
+    if sum(n for n, _ in entries) != struct.unpack_from("<Q", data, 4)[0]:
+        raise ValueError("not a manifest")
+    return [n for n, _ in entries], [d for _, d in entries]
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, object, kinds) of one document for each object: its row, and rows of the shared chunks it owns."""
-    names = ["object", "digests", "lengths", "kinds", "digest", "bytes"]
-    types = [pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+    names = ["object", "manifest", "kinds", "digest", "bytes"]
+    types = [pa.binary()] * 5
     for b in batches:
         kinds_of = b.column(1)
         for lo, loads, _ in _payloads(b.column(0)):
@@ -125,14 +141,15 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts = _pieces(p, lengths)
                 kinds = kinds or bytes(len(parts))
                 digests = [_digest(x) for x in parts]
-                rows.append((_digest(p), b"".join(digests), lengths, kinds, None, b"".join(x for x, k in zip(parts, kinds) if k == PRIVATE)))
+                rows.append((_digest(p), manifest(lengths, digests), kinds, None, b"".join(x for x, k in zip(parts, kinds) if k == PRIVATE)))
                 owned = {d: x for d, x, k in zip(digests, parts, kinds) if k == OWNED}
-                rows += [(None, None, None, None, d, x) for d, x in owned.items()]
+                rows += [(None, None, None, d, x) for d, x in owned.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names)
+    release()
 
 
-def assemble(digests: bytes, lengths: list[int], kinds: bytes, own: bytes, shared: dict[int, bytes]) -> list[bytes]:
+def assemble(digests: list[bytes], lengths: list[int], kinds: bytes, own: bytes, shared: dict[int, bytes]) -> list[bytes]:
     """The chunks of an object in order, each checked against its digest."""
     out, at = [], 0
     for i, (n, kind) in enumerate(zip(lengths, kinds)):
@@ -141,22 +158,17 @@ def assemble(digests: bytes, lengths: list[int], kinds: bytes, own: bytes, share
             at += n
         else:
             out.append(shared[i])
-        if _digest(out[-1]) != digests[DIGEST * i : DIGEST * (i + 1)]:
+        if _digest(out[-1]) != digests[i]:
             raise ValueError(f"chunk {i} does not match its digest")
     return out
 
 
-def stored_form(digests: bytes, lengths: list[int], chunks: list[bytes]) -> bytes:
-    table = b"".join(struct.pack("<I", n) + digests[DIGEST * i : DIGEST * (i + 1)] for i, n in enumerate(lengths))
-    return b"CDC1" + struct.pack("<QI", sum(lengths), len(lengths)) + table + b"".join(chunks)
-
-
 def feature(data: bytes) -> str:
     """Mean and deviation of the payload's samples, mean step between neighbours, and number of distinct samples."""
     x = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
     n = len(x)
     mean, square = int(x.sum()) / n, int((x * x).sum()) / n
-    return f"mean={mean:.6f};std={max(0.0, square - mean * mean) ** 0.5:.6f};step={int(np.abs(np.diff(x)).sum()) / n:.6f};distinct={int((np.bincount(x, minlength=256) > 0).sum())}"
+    return f"mean={mean:.6f};std={max(0.0, square - mean * mean) ** 0.5:.6f};step={int(np.abs(np.diff(x)).sum()) / (n - 1):.6f};distinct={int((np.bincount(x, minlength=256) > 0).sum())}"
 
 
 READ = "object binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -165,7 +177,8 @@ READ = "object binary, payload_bytes long, payload_sha256 string, tail_crc32 lon
 def _read(batches: Iterator[pa.RecordBatch], payloads: bool = False) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for key, digests, lengths, kinds, own, shared in zip(*(b.column(c).to_pylist() for c in ("object", "digests", "lengths", "kinds", "bytes", "shared"))):
+        for key, head, kinds, own, shared in zip(*(b.column(c).to_pylist() for c in ("object", "manifest", "kinds", "bytes", "shared"))):
+            lengths, digests = read_manifest(head)
             chunks = assemble(digests, lengths, kinds, own, {x["pos"]: x["bytes"] for x in shared or []})
             data = b"".join(chunks)
             if _digest(data) != key:
@@ -173,8 +186,10 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool = False) -> Iterator
             if payloads:
                 rows.append((key, data))
                 continue
-            media = stored_form(digests, lengths, chunks)
-            rows.append((key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(data)))
+            media = hashlib.sha256(head)
+            for x in chunks:
+                media.update(x)
+            rows.append((key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(head) + sum(map(len, chunks)), media.hexdigest(), feature(data)))
         types = [pa.binary(), pa.binary()] if payloads else [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["object", "payload"] if payloads else [x.split()[0] for x in READ.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names)
@@ -193,18 +208,20 @@ class ChunkStore:
         made = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "text")
         all_manifests = scratch.save(made.mapInArrow(_manifests, "doc_id struct<doc_id: long, key: long>, object binary, n_bytes long, digests array<binary>"), "manifests")
         self.of_docs = all_manifests.select("doc_id.*", "object", "n_bytes")
-        # one document stands for each object; one object owns each shared chunk
-        stands = scratch.save(all_manifests.groupBy("object").agg(F.min("doc_id").alias("stands")), "stands")
-        firsts = all_manifests.join(stands, (all_manifests.object == stands.object) & (F.col("doc_id") == F.col("stands")), "left_semi").dropDuplicates(["object"])
+        # one document stands for each object, and one object owns each shared chunk: the one of smallest 64-bit hash.  Of
+        # documents or objects that tie, both store, which costs space only: reading takes one.
+        pick = F.xxhash64("doc_id.doc_id", "doc_id.key")
+        stands = scratch.save(all_manifests.groupBy("object").agg(F.min(pick).alias("stands")), "stands")
+        firsts = all_manifests.withColumn("pick", pick).join(stands.select("object", F.col("stands").alias("pick")), ["object", "pick"], "left_semi").dropDuplicates(["object"])
         chunks = scratch.save(firsts.select("object", F.posexplode("digests").alias("pos", "digest")), "chunks")
-        owners = chunks.groupBy("digest").agg(F.min("object").alias("owner"), F.count("*").alias("refs")).filter("refs > 1").select("digest", "owner")
+        owners = chunks.groupBy("digest").agg(F.min(F.xxhash64("object")).alias("owner"), F.count("*").alias("refs")).filter("refs > 1").select("digest", "owner")
         owners = scratch.save(owners, "owners")
-        kind = F.when(F.col("object") == F.col("owner"), OWNED).otherwise(FOREIGN)
+        kind = F.when(F.xxhash64("object") == F.col("owner"), OWNED).otherwise(FOREIGN)
         self.shared_refs = scratch.save(chunks.join(owners, "digest").select("object", "pos", "digest", kind.alias("kind")), "refs")
         hot = self.shared_refs.groupBy("object").agg(F.map_from_entries(F.collect_list(F.struct("pos", "kind"))).alias("at"))
         code = F.transform(F.sequence(F.lit(0), F.size("digests") - 1), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("at", i), F.lit(PRIVATE))), 2, "0"))
         marked = firsts.join(hot, "object").select("doc_id", F.unhex(F.array_join(code, "")).alias("kinds"))
-        others = all_manifests.join(stands, "object").filter(~F.col("doc_id").eqNullSafe(F.col("stands"))).select("doc_id", F.lit(b"").alias("kinds")).distinct()
+        others = all_manifests.join(stands, "object").filter(pick != F.col("stands")).select("doc_id", F.lit(b"").alias("kinds")).distinct()
         marks = scratch.save(marked.unionByName(others).select("doc_id.*", "kinds"), "marks")
         size = marks.agg(F.sum(F.length("kinds") + 48)).first()[0] or 0
         side = F.broadcast(marks) if size <= broadcast else marks
