@@ -132,3 +132,36 @@ def test_rules_ratio(spark):
     labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, quality int")
     got = {r.doc_id: r.kept for r in rules.judged(docs, labels).collect()}
     assert all(got[i] == (i < 30) for i in range(60))
+
+
+def test_trusted_ids_by_bitmap_and_by_join(spark):
+    ids = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 10**12, -1, -5, -32768, -32769, None]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids + [2, 9, 40_000, -2, 7]], "doc_id long, text string")
+    for good in (ids[::2], ids[1::2], []):
+        table = spark.createDataFrame([(i,) for i in good + good], "doc_id long")
+        want = sorted(f"t{i}" for i in ids + [2, 9, 40_000, -2, 7] if i is not None and i in good)
+        assert sorted(r.text for r in rules._trusted(docs, table).collect()) == want == sorted(r.text for r in rules._trusted(docs, table, 0).collect())
+
+
+def test_rules_against_a_plain_version_with_clashing_columns(spark):
+    import re
+    from collections import Counter
+
+    random.seed(4)
+    vocab = ["alpha", "beta", "gamma", "x1", "!", "Été", "no"]
+    texts = [" ".join(random.choices(vocab, k=random.choice([0, 3, 60, 120]))) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, 1.0, 5) for i, t in enumerate(texts)], "doc_id long, text string, log_ratio double, bucket long")
+    good = set(range(0, 40, 3))
+    labels = spark.createDataFrame([(i, int(i in good), "z") for i in range(40)], "doc_id long, quality int, text string")
+
+    def grams(t):
+        w = re.findall(r"[0-9a-z\u0080-\uffff]+|[^0-9a-z\u0080-\uffff\s]+", "".join(c.lower() if c.isascii() else c for c in t))
+        return w + [("again",) if a == b else (a, b) for a, b in zip(w, w[1:])]
+
+    target, raw = Counter(g for i in good for g in grams(texts[i])), Counter(g for t in texts for g in grams(t))
+    size = 1 << rules.BITS
+    p = lambda c, g: np.log((c[g] + rules.SMOOTH) / (sum(c.values()) + rules.SMOOTH * size))
+    for r in rules.judged(df, labels).collect():
+        g = grams(texts[r.doc_id])
+        want = sum(p(target, x) - p(raw, x) for x in g) / max(1, len(g))
+        assert abs(r.log_ratio - want) < 1e-9 and r.kept == (not r.base_failed and want >= rules.THRESHOLD)

@@ -21,8 +21,9 @@ from .grams import word_grams
 from .words import Block, blocks, window_hashes
 
 BITS, SMOOTH, THRESHOLD = 17, 1.0, -0.35
-#: Ids of trusted documents that are broadcast (64 MB); more are joined by shuffle, which moves the texts once.
-BROADCAST_IDS = 8 << 20
+#: Bytes of bitmaps of trusted ids that are broadcast (a bit an id where ids are dense, 4 KB for each range of 32,768
+#: that has one); larger ones are joined by shuffle, which moves the texts once.
+BROADCAST_BITS = 64 << 20
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -98,17 +99,28 @@ def _judge(batches: Iterator[pa.RecordBatch], ratios) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns), pa.array(np.concatenate(means) if means else np.zeros(0))], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ratio"])
 
 
+def _trusted(docs: DataFrame, good: DataFrame, limit: int | None = None) -> DataFrame:
+    """The rows of docs whose doc_id is in good, each once."""
+    ids = good.filter("doc_id IS NOT NULL").select("doc_id")
+    limit = BROADCAST_BITS if limit is None else limit
+    if ids.select(F.bitmap_bucket_number("doc_id").alias("b")).distinct().count() * 4200 > limit:
+        return docs.join(ids.distinct(), "doc_id", "left_semi")
+    bits = ids.groupBy(F.bitmap_bucket_number("doc_id").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("__bits"))
+    at = F.bitmap_bit_position("doc_id")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    both = docs.join(F.broadcast(bits), F.bitmap_bucket_number("doc_id") == F.col("__bucket"))
+    return both.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ratio, base_failed, kept), a row each.
 
-    A null or empty text has no words, ratio 0, and fails the base rules; documents without an id are judged too,
+    Terms are tokens and pairs of neighbours, but a token beside itself is one term, "again", whatever the token, so that
+    repetition tells in any language.  A null or empty text has no words, ratio 0, and fails the base rules; documents without an id are judged too,
     but are never trusted.  Several good labels of one document count once, rows of one doc_id each.  No trusted
     document makes every ratio 0; an empty table gives an empty result.
     """
-    trusted = labels.filter("quality = 1").select("doc_id").distinct()
-    if trusted.count() <= BROADCAST_IDS:
-        trusted = F.broadcast(trusted)
-    target = gram_counts(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi"))
+    target = gram_counts(_trusted(docs.select("doc_id", "text"), labels.filter("quality = 1")))
     shared = docs.sparkSession.sparkContext.broadcast(log_ratio(target, gram_counts(docs)))
     out = docs.select("doc_id", "text").mapInArrow(
         partial(_judge, ratios=shared), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ratio double"
