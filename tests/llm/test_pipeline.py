@@ -65,3 +65,9 @@ def test_target_weights_decide_places(spark, documents, monkeypatch, tmp_path):
     heavy = max(corpus_pipeline.mixing.source_counts(documents))
     monkeypatch.setattr(corpus_pipeline.mixing, "tempered", lambda counts: {s: 1000.0 if s == heavy else 1.0 for s in counts})
     assert places("changed") != usual
+
+
+def test_labels_of_both_kinds_are_needed(spark, documents, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    with pytest.raises(ValueError):
+        corpus_pipeline.keep_quality(spark, documents, str(tmp_path))
