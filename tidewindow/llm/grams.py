@@ -29,7 +29,7 @@ def word_grams(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Lengths in bytes of the beginnings of words that are terms of their own, for inflected forms.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 
 
 def word_terms(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,9 @@ is learned if its pairs do.  Pairs to test are proposed by the leading eigenvect
 (sum over documents of residual * x_i * x_j), which is only ever multiplied with vectors.  However many buckets pass,
 all are kept.
 
+A toxic document counts POSITIVE times a clean one after the classes are balanced, as one missed costs more than one
+sent to review.
+
 Fitted on a bounded sample: at most PER_CLASS labelled documents of each class.  The model (at most 2**18 buckets with
 FACTORS + 1 numbers each, 10 MB) is broadcast.
 """
@@ -28,7 +31,7 @@ from ..runtime import settings
 from .grams import distinct_counts, held_out, labelled, word_terms
 from .words import blocks, release
 
-BITS, FACTORS, PER_CLASS = 18, 4, 4000
+BITS, FACTORS, PER_CLASS, POSITIVE = 18, 4, 4000, 2.0
 Z, Z_PAIR = 4.0, 6.0
 #: Eigenvectors of pair gradients, rounds of the power iteration, and the entries of each whose pairs are tested.
 VECTORS, ROUNDS, TESTED = 4, 12, 64
@@ -57,9 +60,9 @@ class FactorizationMachine:
         return out
 
     def fit(self, rows: np.ndarray, terms: np.ndarray, y: np.ndarray, epochs: int = 200, rate: float = 0.1, decay: float = 1e-3) -> None:
-        """Full-batch AdaGrad on the class-balanced logistic loss; deterministic."""
-        n = len(y)
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+        """Full-batch AdaGrad on the logistic loss of balanced classes, the toxic one weighed by POSITIVE; deterministic."""
+        n, share = len(y), POSITIVE / (1 + POSITIVE)
+        weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
         g2 = [1e-8, np.full_like(self.w, 1e-8), np.full_like(self.v, 1e-8)]
         for _ in range(epochs):
             p = 1 / (1 + np.exp(-np.clip(self.raw(rows, terms, n), -30, 30)))
