@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewindow.llm import media as M
@@ -30,10 +31,10 @@ def test_gear_and_cuts():
         assert sum(n) == len(p) and max(n) <= M.MOST and min(n[:-1], default=M.LEAST) >= M.LEAST and [n] == M.cuts([p])
 
 
-@pytest.mark.parametrize("broadcast", [M.BROADCAST, -1])
-def test_round_trip(spark, frame, broadcast):
+@pytest.mark.parametrize("bits", [M.FILTER_BITS, 40_000, 8])
+def test_round_trip(spark, frame, bits):
     rows = [*enumerate(texts()), (3, "a"), (3, "other text of the same id"), (None, "no id"), (None, None)]
-    store = M.ChunkStore(frame(rows, extra=True), Scratch(spark, "t"), broadcast)
+    store = M.ChunkStore(frame(rows, extra=True), Scratch(spark, "t"), bits)
     of = {(r.doc_id, r.n_bytes, bytes(r.object)) for r in store.of_docs.collect()}
     back = {bytes(r.object): bytes(r.payload) for r in store.payloads().collect()}
     want = {(i, len((t or "").encode()), M.payload((t or "").encode())) for i, t in rows}
@@ -62,6 +63,15 @@ def test_round_trip(spark, frame, broadcast):
     assert store.table.filter("digest IS NOT NULL").count() == store.table.filter("digest IS NOT NULL").select("digest").distinct().count() > 0
 
 
+def test_filter_passes_what_was_put_in(spark):
+    for bits in (8, 40_000, M.FILTER_BITS):
+        picks = np.random.default_rng(bits).integers(-(1 << 63), 1 << 63, 500)
+        marked = M._filter(spark.createDataFrame([(x,) for x in [0, -1, *picks.tolist()]], "pick long"), bits)
+        assert M._passes(pa.array([0, -1, *picks.tolist()]), marked, bits).all()
+        others = M._passes(pa.array(picks + 12345), marked, bits)
+        assert np.unpackbits(marked).sum() <= 502 and others.mean() < (1.1 if bits == 8 else 0.1)
+
+
 def test_damage_is_found_and_empty(spark, frame):
     d = M._digest(b"abc")
     assert M.assemble([d], [3], b"\0", b"abc", {}) == [b"abc"]

@@ -11,8 +11,10 @@ chunks that occur more than once, in several payloads or within one, are found b
 Reading joins shared chunks back by digest, puts every chunk in the manifest's order, and checks each digest.  The
 stored form of a payload is what is stored for it: the bytes of its manifest, then of its chunks in order.
 
-Bytes move between executors only for shared chunks.  To tell writers which chunks those are, the small table of
-marks is broadcast while it measures under BROADCAST bytes, and joined by shuffle beyond.
+Writers learn which chunks of a document are shared from a table of marks.  A filter of FILTER_BITS bits, whatever the
+size of the corpus, tells which documents may have one: all others are stored where they are read, and the texts of
+those alone move to be joined with their marks.  A document that the filter passes in vain finds no mark and is stored
+like the others; a corpus that fills the filter moves more texts, with the same result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from ..runtime import Scratch, settings
 from .words import raw_text, release
 
 UNIT, CUT_BITS, LEAST, MOST, DIGEST = 192, 10, 256, 4096, 16
-BROADCAST = 64 << 20
+FILTER_BITS = 1 << 26
 STEP = 1 << 20
 #: Random numbers of the gear hash, from a fixed seed.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -149,6 +152,29 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def _filter(picks: DataFrame, bits: int) -> np.ndarray:
+    """bits bits as bytes, set at the hashes picks(pick); each bitmap is made in one task."""
+    at = F.pmod("pick", F.lit(bits)) + 1
+    placed = picks.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("at")).repartition("bucket")
+    found = placed.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).toArrow()
+    out = np.zeros((-(-bits // (1 << 15)), 1 << 12), dtype=np.uint8)
+    for bucket, data in zip(found.column("bucket").to_pylist(), found.column("bits").to_pylist()):
+        out[bucket - 1] = np.frombuffer(data, dtype=np.uint8)
+    return out.ravel()
+
+
+def _passes(picks: pa.Array, marked: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the hashes have their bit set."""
+    at = picks.to_numpy(zero_copy_only=False) % bits
+    return (marked[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _unmarked(batches: Iterator[pa.RecordBatch], marked, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (text, pick) that the filter does not pass, stored."""
+    alone = (b.filter(pa.array(~_passes(b.column(1), marked.value, bits))) for b in batches)
+    return _store(pa.RecordBatch.from_arrays([b.column(0), pa.nulls(len(b), pa.binary())], ["text", "kinds"]) for b in alone if len(b))
+
+
 def assemble(digests: list[bytes], lengths: list[int], kinds: bytes, own: bytes, shared: dict[int, bytes]) -> list[bytes]:
     """The chunks of an object in order, each checked against its digest."""
     out, at = [], 0
@@ -203,7 +229,7 @@ class ChunkStore:
     empty tables.
     """
 
-    def __init__(self, docs: DataFrame, scratch: Scratch, broadcast: int = BROADCAST):
+    def __init__(self, docs: DataFrame, scratch: Scratch, bits: int = FILTER_BITS):
         self.scratch = scratch
         made = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "text")
         all_manifests = scratch.save(made.mapInArrow(_manifests, "doc_id struct<doc_id: long, key: long>, object binary, n_bytes long, digests array<binary>"), "manifests")
@@ -223,12 +249,15 @@ class ChunkStore:
         marked = firsts.join(hot, "object").select("doc_id", F.unhex(F.array_join(code, "")).alias("kinds"))
         others = all_manifests.join(stands, "object").filter(pick != F.col("stands")).select("doc_id", F.lit(b"").alias("kinds")).distinct()
         marks = scratch.save(marked.unionByName(others).select("doc_id.*", "kinds"), "marks")
-        size = marks.agg(F.sum(F.length("kinds") + 48)).first()[0] or 0
-        side = F.broadcast(marks) if size <= broadcast else marks
-        keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-        m = side.withColumnsRenamed({"doc_id": "m_id", "key": "m_key"})
-        todo = keyed.join(m, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left").select("text", "kinds")
-        self.table = scratch.save(todo.mapInArrow(_store, STORE), "store")
+        picked = F.xxhash64("doc_id", "key")
+        marked = docs.sparkSession.sparkContext.broadcast(_filter(marks.select(picked.alias("pick")), bits))
+        keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").withColumn("pick", picked)
+        alone = keyed.select("text", "pick").mapInArrow(partial(_unmarked, marked=marked, bits=bits), STORE)
+        passes = F.arrow_udf(lambda x: pa.array(_passes(x, marked.value, bits)), "boolean")
+        m = marks.withColumnsRenamed({"doc_id": "m_id", "key": "m_key"}).hint("merge")  # its size does not choose the plan
+        found = keyed.filter(passes("pick")).join(m, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left").select("text", "kinds")
+        self.table = scratch.save(alone.unionByName(found.mapInArrow(_store, STORE)), "store")
+        marked.unpersist()
 
     def _objects(self) -> DataFrame:
         """Object rows with what they need of the shared chunks, as (pos, bytes).
