@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewindow import functions as V
 from tidewindow.config import Config, Dtype, Metric
 from tidewindow.errors import EngineError
-from tidewindow.operators import report, search, window
+from tidewindow.operators import anomaly, report, search, window
 from tidewindow.operators.ingest import entries
 from tidewindow.sources import codec, vectorfiles
 
@@ -50,6 +50,29 @@ def test_window_against_plain_loop(spark, w):
     assert replayed == want
 
 
+@pytest.mark.parametrize("w", [None, 0, 7, 60, 10**6])
+@pytest.mark.parametrize("dim", [2, 130])
+def test_rolling_against_plain_loop(spark, w, dim):
+    """A ring that evicts its stale prefix after every append, row by row."""
+    rng, cap, rows, want = np.random.default_rng(6), 8, [], {}
+    for sensor, n in (("a", 1), ("b", 40), ("c", 90)):
+        ring, tail = [], 0
+        for i in range(n):
+            ts, v = int(i * 5 + rng.integers(-30, 30)), rng.normal(size=dim).astype("float32")
+            hot = [x for _, x in ring[max(tail, len(ring) - cap) :]]
+            d = None if not hot else float(np.sqrt(((np.mean(hot, axis=0, dtype=float) - v) ** 2).sum()))
+            want[sensor, i] = (d, int(d is not None and d > 2))
+            rows.append((sensor, i, ts, v.tolist()))
+            ring.append((ts, v))
+            tail = max(tail, len(ring) - cap)
+            if w is not None:
+                latest = max(t for t, _ in ring[tail:])
+                while tail < len(ring) and (w == 0 or ring[tail][0] < latest - w):
+                    tail += 1
+    got = {(r.sensor_id, r.seq): (r.distance, r.is_anomaly) for r in anomaly.rolling(spark.createDataFrame(rows, ROW).repartition(3), dim, cap, 2.0, Metric.EUCLIDEAN, w).collect()}
+    assert got == {k: (d if d is None else pytest.approx(d, abs=2e-6), x) for k, (d, x) in want.items()}
+
+
 def test_plans_limit_before_the_shuffle(spark):
     df = spark.createDataFrame([("s", 0, 0, [1.0])], ROW)
     plan = window.last_arrivals(df, 16)._jdf.queryExecution().executedPlan().toString()

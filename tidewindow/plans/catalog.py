@@ -258,6 +258,17 @@ def rolling_anomaly(spark, sf):
     return anomaly.rolling(events(spark, sf), 2, CAPACITY, 100.0, EUCLIDEAN)
 
 
+@query(
+    E + f""", r AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY seq) AS pos, max(ts) OVER (PARTITION BY sensor_id ORDER BY seq ROWS BETWEEN {CAPACITY} PRECEDING AND 1 PRECEDING) AS latest FROM e),
+p AS (SELECT r.sensor_id, r.seq, q.pos, q.v, min(CASE WHEN q.ts >= r.latest - {WINDOW_MS} THEN q.pos END) OVER (PARTITION BY r.sensor_id, r.seq) AS tail FROM r JOIN r AS q ON r.sensor_id = q.sensor_id AND q.pos BETWEEN r.pos - {CAPACITY} AND r.pos - 1),
+m AS (SELECT sensor_id, seq, i, avg(v[i]) AS m FROM (SELECT *, unnest(range(1, {DIM + 1})) AS i FROM p WHERE pos >= tail) GROUP BY ALL),
+c AS (SELECT sensor_id, seq, sqrt(sum((m - r.v[i]) * (m - r.v[i]))) AS d FROM m JOIN r USING (sensor_id, seq) GROUP BY 1, 2)
+SELECT sensor_id, seq, round(d, 6) AS distance, coalesce((round(d, 6) > 1.1)::INT, 0) AS is_anomaly FROM r LEFT JOIN c USING (sensor_id, seq)"""
+)
+def rolling_anomaly_timed(spark, sf):
+    return anomaly.rolling(embeddings(spark, sf), DIM, CAPACITY, 1.1, EUCLIDEAN, WINDOW_MS)
+
+
 @query(E + f" SELECT sensor_id, seq, ts FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY seq DESC) AS back FROM e WHERE ts >= 40000 - {WINDOW_MS}) WHERE back <= {CAPACITY}")
 def rehydrate_window(spark, sf):
     from ..sources.cold import rehydrated
