@@ -38,7 +38,7 @@ from .words import Block, blocks
 DEPTH, CLASSES, BITS = 6, 64, 6
 #: Depth up to which one dense table finds the state; longer contexts are reached from there, a symbol at a time.
 DENSE = 3
-LEAST, GAIN, STRENGTH = 5, 4.0, 3.0
+LEAST, GAIN, STRENGTH = 5, 4.0, 5.0
 #: Contexts of a shard, and the nearest symbols that tell which shard a position needs.
 SHARD, KEYED = 1 << 16, 2
 END = 0x0A
