@@ -338,7 +338,7 @@ def shards(byte_counts: np.ndarray, contexts: DataFrame, model: DataFrame, scrat
     table = model.sparkSession.createDataFrame([(k, s) for k, s in enumerate(shard_of.tolist())], "key int, shard int")
     own = model.filter(F.col("depth") >= KEYED).withColumn("key", key(F.shiftright("run", BITS))).join(F.broadcast(table), "key").drop("key")
     if i:
-        own = scratch.save(own.repartition("shard").sortWithinPartitions("shard"), "shards")
+        own = scratch.save(own.repartitionByRange("shard", "run").sortWithinPartitions("shard", "run"), "shards")
     short = model.filter(F.col("depth") < KEYED)
     return shard_of, (_tree(byte_counts, short.unionByName(own.filter(F.col("shard") == s).drop("shard"))) for s in range(i + 1))
 
