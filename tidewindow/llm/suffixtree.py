@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import Scratch, settings
 from .grams import held_out
-from .words import Block, blocks
+from .words import Block, blocks, release
 
 DEPTH, CLASSES, BITS = 6, 64, 6
 #: Depth up to which one dense table finds the state; longer contexts are reached from there, a symbol at a time.
@@ -45,7 +45,7 @@ END = 0x0A
 #: The end token among word hashes, and text bytes in a pack.
 END_HASH, PACK = np.uint64(0x5DEECE66D1234567), 16 << 20
 #: Symbols whose runs a task counts at a time.
-HELD = 24 << 20
+HELD = 12 << 20
 
 
 def symbols(k: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +123,8 @@ def _runs(batches: Iterator[pa.RecordBatch], classes: np.ndarray, end_class: int
                 at, size = at + n, size + n
     if size:
         yield from emit()
+    del held
+    release()
 
 
 def _low(symbols: int) -> int:
@@ -403,8 +405,10 @@ def _pack(batches: Iterator[pa.RecordBatch], trees: list, byte_counts: np.ndarra
             if size >= PACK:
                 yield from emit()
                 n, size = n + 1, 0
+                release()
     if held["doc_id"]:
         yield from emit()
+    release()
 
 
 PACKED = "pack long, doc_ids array<long>, held array<boolean>, scores array<double>, sizes array<long>, words array<long>, train array<long>, tokens binary"
